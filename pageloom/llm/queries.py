@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_budget
+from . import language_id, mixing, packing, token_budget
 from .common import load_tokenizer, small_rows, table, token_size
 
 
@@ -61,7 +61,38 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sized_documents(spark, d), table(spark, d, "mixture_sources"))[1]
 
 
+def document_items(spark: SparkSession, d: str) -> DataFrame:
+    host = F.lower(F.trim("source"))
+    return table(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("item_id"), "text", F.col("lang").alias("label"), F.regexp_extract(host, r"^([^_]*)", 1).alias("kind"), host.alias("host"))
+
+
+def manifest_items(spark: SparkSession, d: str) -> DataFrame:
+    """Refs of manifest; the host is the shard without its number, as addresses end in one."""
+    host = F.regexp_extract(F.lower(F.trim("shard")), r"^(.*?)[-_0-9]*(\.\w+)?$", 1)
+    return table(spark, d, "manifest").select(F.lit("manifest").alias("src"), F.col("rec_id").alias("item_id"), F.col("ref").alias("text"), F.col("lang").alias("label"), F.regexp_extract(host, r"^([^-_]*)", 1).alias("kind"), host.alias("host"))
+
+
+def page_items(spark: SparkSession, d: str) -> DataFrame:
+    text = F.array_join(F.transform("lines", lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    return table(spark, d, "maurdor_pages").select(F.lit("maurdor_pages").alias("src"), F.col("page_id").alias("item_id"), text.alias("text"), F.col("lang").alias("label"), F.lit("maurdor").alias("kind"), F.lower(F.trim("split")).alias("host"))
+
+
+def all_items(spark: SparkSession, d: str) -> DataFrame:
+    return document_items(spark, d).unionByName(manifest_items(spark, d)).unionByName(page_items(spark, d))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return language_id.mislabelled(language_id.identify(all_items(spark, d)))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every item with its confidence."""
+    return language_id.identify(all_items(spark, d)).select("src", "item_id", F.explode("segments").alias("s")).select("src", "item_id", "s.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_segments": p1_segments,
     "p2_found": p2_found,
     "p2_budget_cube": p2_budget_cube,
     "p6_found": p6_found,
