@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, token_budget
+from . import language_id, line_kinds, mixing, near_dup, overlap, packing, token_budget
 from .common import load_tokenizer, small_rows, table, token_size
 
 
@@ -90,11 +90,66 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language_id.identify(all_items(spark, d)).select("src", "item_id", F.explode("segments").alias("s")).select("src", "item_id", "s.*")
 
 
+def lined_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and manifest records with boxes: a box is a line."""
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("item_id"), "text", F.lit(None).cast("long").alias("n_units"))
+    boxes = F.filter("bboxes", lambda b: b.isNotNull())
+    lines = F.transform(boxes, lambda b: F.regexp_replace(F.coalesce(b["text"], F.lit("")), r"\s+", " "))
+    records = table(spark, d, "manifest").filter("size(bboxes) > 0")
+    return docs.unionByName(records.select(F.lit("manifest").alias("src"), F.col("rec_id").alias("item_id"), F.array_join(lines, "\n").alias("text"), F.size(boxes).cast("long").alias("n_units")))
+
+
+def described_items(spark: SparkSession, d: str) -> DataFrame:
+    model = line_kinds.train(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), table(spark, d, "page_labels"))
+    return line_kinds.describe(lined_items(spark, d), model)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return described_items(spark, d).filter("n_lines >= 4 and kind <> 'prose'").select("src", "item_id", "kind")
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return described_items(spark, d).drop("line_kinds")
+
+
+def manifest_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "manifest").select(F.col("rec_id").alias("id"), F.col("ref").alias("text"), "split", "image")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = near_dup.near_duplicates(manifest_texts(spark, d))
+    return near_dup.expanded(links, members, near_dup.comparable(manifest_texts(spark, d), members))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its class of exact copies and the number of classes near it."""
+    return near_dup.grouped(*near_dup.near_duplicates(manifest_texts(spark, d)))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    records = manifest_texts(spark, d)
+    pairs = overlap.text_pairs(*overlap.cross_split(records)).unionByName(overlap.image_pairs(records))
+    return pairs.select(F.least("eval_id", "train_id").alias("rec_id_a"), F.greatest("eval_id", "train_id").alias("rec_id_b")).distinct()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    records = manifest_texts(spark, d)
+    _, families = token_budget.sliced_records(table(spark, d, "manifest"), table(spark, d, "samples"))
+    sourced = records.join(families.withColumnRenamed("rec_id", "id"), "id", "left").fillna("none", ["source"])
+    return overlap.report(sourced, *overlap.cross_split(records))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
     "p2_found": p2_found,
     "p2_budget_cube": p2_budget_cube,
+    "p3_found": p3_found,
+    "p3_statistics": p3_statistics,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
