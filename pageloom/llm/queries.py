@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_kinds, mixing, near_dup, overlap, packing, token_budget
-from .common import load_tokenizer, small_rows, table, token_size
+from . import language_id, line_kinds, mixing, near_dup, overlap, packing, reading_level, token_budget
+from .common import label_languages, load_tokenizer, small_rows, table, token_size
 
 
 def sized_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -139,6 +139,22 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(sourced, *overlap.cross_split(records))
 
 
+def levelled_documents(spark: SparkSession, d: str) -> DataFrame:
+    items = document_items(spark, d)
+    languages = language_id.train(items.withColumn("declared", label_languages(F.col("label"))))
+    lines = line_kinds.train(items, table(spark, d, "page_labels"))
+    return reading_level.levels(items, languages, lines, reading_level.train(table(spark, d, "level_anchors")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.english_prose(levelled_documents(spark, d)).withColumnRenamed("item_id", "doc_id")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences by kind and level."""
+    return levelled_documents(spark, d).groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
@@ -154,6 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_profile": p8_profile,
 }
 
 ORACLE: dict[str, str] = {}
