@@ -1,89 +1,26 @@
 """Problem 4: groups of near-duplicate records, by the generalised pigeonhole over the bits of shingle sets.
 
-A record is a sparse bit vector, one bit per shingle. Two records of likeness 0.5 share at least half the bits of the larger, so
-each lacks at most half of its own. The bits are cut into partitions with unequal thresholds:
-
-* a rare bit (frequency up to a cut) is a partition of its own with threshold 0: it is shared or not;
-* the common bits are grouped by the rarest word of their shingle. Such bits are correlated: an edit of the word takes or leaves
-  them together. The threshold of a group of k bits is k - 2: it matches when two of its bits are shared.
-
-Where rare bits make up more than a record can lack, only the rarest of them are probed (the others have threshold -1), else all
-its rare bits and all its groups. If two records share no rare bit, they share at least half their bits among the common groups;
-a record that has fewer groups than that must share two bits of some group. Only if neither record has, both also probe their
-rarest common bits one by one. So no pair is lost, whatever the frequencies say.
-
-The cut is found by a dynamic program over frequency levels: running sums of the candidates that single bits up to a level would
-give and of the signatures that groups above it would take. Candidates pass size and bitmap bounds and are verified on their texts.
+A record is a sparse bit vector, one bit per shingle. Of two records of likeness 0.5 each lacks at most half of its own bits. Cut a
+record's bits into partitions with thresholds whose sum of (threshold + 1) is one more than it may lack, and some partition has no
+more lacking bits than its threshold. The partitions here are single bits. Their thresholds are unequal: 0 for the bits with the
+fewest estimated candidates, just as many as needed, and -1 (not probed) for all others. Estimates are document frequencies over
+all records from a sketch of fixed size; as one bit costs its frequency whatever the others do, taking them in ascending order is
+the optimum of the allocation program. Probes pass bounds on size and on bitmaps and are verified on the texts, so no pair is lost.
+
+Larger groups of correlated bits were tried and given up; the README has the figures.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import BITMAP, K1, MIN_DISTINCT, MIN_WORDS, Sketch, bitmaps, bucket, classes, distinct_by, may_match, mixed, shingle, sketch, verify, word_bucket, written
-
-#: Cost of a signature in units of one candidate comparison, and the share of candidates that survive where two bits must match.
-SIGNATURE_COST, PAIR_SHARE = 12.0, 0.1
-#: A word repeated more often than this in any record has its group cut into as many parts as that takes.
-MOST_REPEATS = 8
-SIGNATURES = "sig long, id long, n int, b0 long, b1 long, b2 long, b3 long"
-
-
-def allocate(level: np.ndarray) -> int:
-    """The highest level of single-bit partitions, by running sums of estimated candidates over the levels."""
-    n = np.bincount(level, minlength=256).astype("float64")
-    k = np.arange(256)
-    f = np.where(k < 64, k, 64 * 2.0 ** ((k - 64) / 8))
-    single = np.cumsum(n * f * f / 8)  # about half of a record's bits are probed, on both sides
-    grouped = np.cumsum((n * (PAIR_SHARE * f * f / 8 + SIGNATURE_COST * f * 0.7))[::-1])[::-1]
-    cost = single + np.r_[grouped[1:], 0.0] + np.cumsum(n * f) * SIGNATURE_COST * 0.5
-    return max(1, int(np.argmin(cost)))
-
-
-def signatures(texts: pa.Array, sk: Sketch, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signature, text, and by text the number of shingles and bitmaps."""
-    s = shingle(texts)
-    level = sk.level[bucket(s.hash)]
-    rows = distinct_by(s, level)
-    text, h, lv, place = s.text[rows], s.hash[rows], level[rows], s.place[rows]
-    n = np.bincount(text, minlength=s.n_texts).astype("int64")
-    maps = bitmaps(text, h, s.n_texts)
-    rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
-    prefix = n - (n + 1) // 2 + 1
-    rare = lv <= cut
-    n_rare = np.bincount(text, weights=rare, minlength=s.n_texts).astype("int64")
-    heavy = n_rare < prefix  # more common bits than it may lack
-    # the group of a common bit: its rarest word, cut further where some record repeats that word very often
-    bits = np.flatnonzero(~rare & heavy[text])
-    trio = np.stack([s.words[place[bits] + k] for k in range(3)])
-    rarity = sk.word[word_bucket(trio)].astype("uint64") << np.uint64(32) | (trio >> np.uint64(32))
-    word = trio[rarity.argmin(0), np.arange(len(bits))]
-    parts = np.maximum(1, -(-sk.repeats[word_bucket(word)] // MOST_REPEATS)).astype("uint64")
-    group = mixed(word + K1 * (h[bits] % parts))
-    key = (text[bits].astype("uint64") << np.uint64(48)) | (group >> np.uint64(16))
-    order = np.argsort(key, kind="stable")
-    key, bits = key[order], bits[order]
-    first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    n_groups = np.bincount(text[bits[first]], minlength=s.n_texts) if len(bits) else np.zeros(s.n_texts, "int64")
-    alone = heavy & (n_groups >= (n + 1) // 2)  # too many groups for two bits of one to be shared for certain
-    single = (rank < prefix[text]) & (rare | alone[text])
-    single &= lv != 1  # a bit of one record has no partner; sketch counts are never too low
-    sigs, owners = [h[single]], [text[single]]
-    lag = 1
-    while True:
-        here = np.flatnonzero(key[lag:] == key[:-lag]) if lag < len(key) else np.zeros(0, "int64")
-        if not len(here):
-            break
-        x, y = h[bits[here]], h[bits[here + lag]]
-        sigs.append(mixed(np.minimum(x, y) * K1 + np.maximum(x, y)))
-        owners.append(text[bits[here]])
-        lag += 1
-    return np.concatenate(sigs), np.concatenate(owners), n, maps
+from .shingles import BITMAP, MIN_DISTINCT, MIN_WORDS, classes, may_match, prefixes, sketch, verify, written
+
+SIGNATURES = "sig long, id long, n int, " + ", ".join(f"{x} long" for x in BITMAP)
 
 
 def near_duplicates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,16 +33,13 @@ def near_duplicates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     records = records.select(F.col("id").cast("long").alias("id"), "text").filter("id is not null")
     members, reps = classes(records)
     reps = written(reps)
-    sk = sketch(reps)
-    cut = allocate(sk.level)
-    shared = records.sparkSession.sparkContext.broadcast((sk, cut))
+    level = records.sparkSession.sparkContext.broadcast(sketch(reps))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sk, cut = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            sig, text, n, maps = signatures(batch.column(1), sk, cut)
-            cols = [pa.array(sig.view("int64")), pa.array(ids[text]), pa.array(n[text].astype("int32")), *(pa.array(maps[text, k].view("int64")) for k in range(4))]
+            sig, text, _, n, maps = prefixes(batch.column(1), level.value)
+            cols = [pa.array(sig.view("int64")), pa.array(ids[text]), pa.array(n[text].astype("int32")), *(pa.array(maps[text, k].view("int64")) for k in range(len(BITMAP)))]
             yield pa.RecordBatch.from_arrays(cols, ["sig", "id", "n", *BITMAP])
 
     sigs = reps.select("id", "text").mapInArrow(emit, SIGNATURES)

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import trimmed
-from .shingles import BITMAP, Sketch, bitmaps, bucket, content_key, distinct_by, may_match, needed, shingle, sketch, verify, written
+from .shingles import BITMAP, content_key, may_match, needed, prefixes, sketch, verify, written
 
-POSTINGS = "sig long, id long, n int, place int, b0 long, b1 long, b2 long, b3 long"
+POSTINGS = "sig long, id long, n int, place int, " + ", ".join(f"{x} long" for x in BITMAP)
 #: Log2 of the bits of the filter of indexed shingles that training tasks look into before they shuffle a posting; fixed.
 FILTER_BITS = 24
 EVALUATION = ("val", "validation", "dev", "test")
@@ -38,18 +38,6 @@ def image_name(image: Column) -> Column:
     return F.when(name != "", name)
 
 
-def prefixes(texts: pa.Array, sk: Sketch) -> tuple[np.ndarray, ...]:
-    """Signature, text, place of the prefix shingles; by text the number of shingles and bitmaps."""
-    s = shingle(texts)
-    level = sk.level[bucket(s.hash)]
-    rows = distinct_by(s, level)
-    text, h = s.text[rows], s.hash[rows]
-    n = np.bincount(text, minlength=s.n_texts).astype("int64")
-    rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
-    kept = (rank < (n - (n + 1) // 2 + 1)[text]) & (level[rows] != 1)
-    return h[kept], text[kept], rank[kept], n, bitmaps(text, h, s.n_texts)
-
-
 def filter_bit(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64((1 << FILTER_BITS) - 1)).astype("int64")
 
@@ -104,7 +92,7 @@ def cross_split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
             at = filter_bit(sig)
             hit = (seen.value[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1 > 0
             sig, text, place = sig[hit], text[hit], place[hit]
-            cols = [pa.array(sig.view("int64")), pa.array(ids[text]), pa.array(n[text].astype("int32")), pa.array(place.astype("int32")), *(pa.array(maps[text, k].view("int64")) for k in range(4))]
+            cols = [pa.array(sig.view("int64")), pa.array(ids[text]), pa.array(n[text].astype("int32")), pa.array(place.astype("int32")), *(pa.array(maps[text, k].view("int64")) for k in range(len(BITMAP)))]
             yield pa.RecordBatch.from_arrays(cols, ["sig", "id", "n", "place", *BITMAP])
 
     index = reps.filter("in_eval").select("id", "text").mapInArrow(emit, POSTINGS).alias("e")

@@ -14,8 +14,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +22,11 @@ from .common import checkpoint
 WIDTH = 3
 MIN_WORDS, MIN_DISTINCT = 15, 10
 #: Log2 of the sketch's buckets, and of the buckets in one shuffled slice of it. Both are fixed whatever the corpus.
-SKETCH_BITS, SLICE_BITS = 21, 16
-WORD_BITS = 16
+SKETCH_BITS, SLICE_BITS = 22, 16
 K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-BITMAP = ["b0", "b1", "b2", "b3"]
+BITMAP = [f"b{k}" for k in range(8)]
+#: Sets from this size on have 512 bits, smaller ones 256: the other four words are 0 then and take no room in a shuffle.
+LARGE = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,19 +35,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+TOP = 0x3100
+_rng = np.random.default_rng(20_011)
+#: Of each sign below TOP: whether it is a letter or digit, and a random number of its lower case. Odd multipliers by place in a word.
+PLAIN = np.array([chr(c).isalnum() for c in range(TOP)])
+SIGN = _rng.integers(1, 2**63, TOP, dtype="int64").astype("uint64")[[min(ord(chr(c).lower()[0]), TOP - 1) for c in range(TOP)]]
+STEP = _rng.integers(1, 2**63, 64, dtype="int64").astype("uint64") | np.uint64(1)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order and the number of words of each."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\p{L}\p{N}]+", " ")
-    lists = pc.split_pattern(pc.utf8_trim(plain, " "), " ")
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    coded = pc.list_flatten(lists).dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype="uint64")
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64")
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    return (table[codes] if len(codes) else np.zeros(0, "uint64")), lengths
+    """Hashes of the words of all texts in order and the number of words of each; lower case, other signs part words.
+
+    Works on the code points of the whole batch at once. A word's hash is a sum over its signs, each with a multiplier by its place.
+    """
+    strings = ["" if t is None else t for t in texts.to_pylist()]
+    raw = np.frombuffer(" ".join(strings).encode("utf-32-le", "surrogatepass"), dtype="uint32")
+    lengths = np.fromiter(map(len, strings), dtype="int64", count=len(strings))
+    high = raw >= TOP
+    low = np.where(high, 0, raw)
+    alnum = PLAIN[low]
+    if high.any():
+        at = np.flatnonzero(high)
+        signs, back = np.unique(raw[at], return_inverse=True)
+        alnum[at] = np.array([chr(c).isalnum() for c in signs.tolist()])[back]
+        far = np.zeros(len(raw), dtype="uint64")
+        far[at] = (np.array([ord(chr(c).lower()[0]) for c in signs.tolist()], dtype="uint64") * K1)[back]
+    where = np.flatnonzero(alnum)
+    if not len(where):
+        return np.zeros(0, "uint64"), np.zeros(len(strings), "int64")
+    first = np.r_[True, np.diff(where) > 1]
+    start = np.flatnonzero(first)
+    value = SIGN[low[where]]
+    if high.any():
+        value[high[where]] = far[where][high[where]]
+    place = np.arange(len(where)) - np.repeat(start, np.diff(np.r_[start, len(where)]))
+    value *= STEP[place & 63]
+    value += (place >> 6).astype("uint64") * K3
+    hashes = mixed(np.add.reduceat(value, start))
+    begins = np.cumsum(lengths + 1) - (lengths + 1)
+    owner = np.searchsorted(begins, where[start], side="right") - 1
+    return hashes, np.bincount(owner, minlength=len(strings)).astype("int64")
 
 
 @dataclass
@@ -67,9 +93,10 @@ def shingle(texts: pa.Array) -> Shingles:
     """Texts of fewer than MIN_WORDS words or MIN_DISTINCT distinct ones have none. Up to 65,535 texts at once."""
     words, lengths = word_hashes(texts)
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    pairs = np.unique((owner.astype("uint64") << np.uint64(48)) | (words >> np.uint64(16)))
-    distinct = np.bincount((pairs >> np.uint64(48)).astype("int64"), minlength=len(lengths))
-    fit = (lengths >= MIN_WORDS) & (distinct >= MIN_DISTINCT)
+    pairs = (owner.astype("uint64") << np.uint64(48)) | (words >> np.uint64(16))
+    pairs.sort()
+    new = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+    fit = (lengths >= MIN_WORDS) & (np.bincount((new >> np.uint64(48)).astype("int64"), minlength=len(lengths)) >= MIN_DISTINCT)
     if len(words) < WIDTH:
         return Shingles(*(np.zeros(0, t) for t in ("int64", "uint64", "int64")), words, owner, len(lengths))
     place = np.flatnonzero((owner[:-2] == owner[2:]) & fit[owner[:-2]])
@@ -89,74 +116,62 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype("int64")
 
 
-def word_bucket(w: np.ndarray) -> np.ndarray:
-    return (w >> np.uint64(64 - WORD_BITS)).astype("int64")
-
-
 def to_level(count: np.ndarray) -> np.ndarray:
     """Counts below 64 as they are, larger ones by eighths of a doubling, up to 255."""
     c = count.astype("float64")
     return np.where(c < 64, c, np.minimum(255, 64 + np.floor(8 * np.log2(np.maximum(c, 64) / 64)))).astype("uint8")
 
 
-@dataclass
-class Sketch:
-    """Of a whole corpus, by hash bucket: level of the shingles' document frequency, words' frequency, most repeats of a word."""
-
-    level: np.ndarray
-    word: np.ndarray
-    repeats: np.ndarray
-
-
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles, words, repeats = np.zeros(1 << SKETCH_BITS, "int32"), np.zeros(1 << WORD_BITS, "int64"), np.zeros(1 << WORD_BITS, "int64")
-    seen = False
+    total, seen = np.zeros(1 << SKETCH_BITS, "int32"), False
     for batch in batches:
         s, seen = shingle(batch.column(0)), True
-        one = np.unique((s.text.astype("uint64") << np.uint64(48)) | (s.hash >> np.uint64(16)))
-        shingles += np.bincount(((one << np.uint64(16)) >> np.uint64(64 - SKETCH_BITS)).astype("int64"), minlength=1 << SKETCH_BITS).astype("int32")
-        b = word_bucket(s.words)
-        words += np.bincount(b, minlength=1 << WORD_BITS)
-        per, n = np.unique(s.word_text * (1 << WORD_BITS) + b, return_counts=True)
-        np.maximum.at(repeats, per & ((1 << WORD_BITS) - 1), n)
+        one = (s.text.astype("uint64") << np.uint64(48)) | (s.hash >> np.uint64(16))
+        one.sort()
+        one = one[np.r_[True, one[1:] != one[:-1]]] if len(one) else one
+        at = ((one << np.uint64(16)) >> np.uint64(64 - SKETCH_BITS)).astype("int64")
+        at.sort()
+        begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+        total[at[begin]] += np.diff(np.r_[begin, len(at)]).astype("int32")
     if seen:
-        parts = [shingles[k : k + (1 << SLICE_BITS)] for k in range(0, 1 << SKETCH_BITS, 1 << SLICE_BITS)] + [words, repeats]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.astype("int64").tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
+        parts = [zlib.compress(np.minimum(total[k : k + (1 << SLICE_BITS)], 65_535).astype("uint16").tobytes(), 1) for k in range(0, 1 << SKETCH_BITS, 1 << SLICE_BITS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
-    last = (1 << (SKETCH_BITS - SLICE_BITS)) + 1
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(counts), dtype="int64")
-            held[part] = x if part not in held else np.maximum(held[part], x) if part == last else held[part] + x
+            x = np.frombuffer(zlib.decompress(counts), dtype="uint16")
+            held[part] = held[part] + x if part in held else x.astype("int64")
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([to_level(v).tobytes() for v in held.values()], pa.binary())], ["part", "levels"])
 
 
-def sketch(texts: DataFrame) -> Sketch:
-    """texts(text) -> frequencies over all of them. Each task sends its counts in slices; a slice is summed as a stream."""
-    n = (1 << (SKETCH_BITS - SLICE_BITS)) + 2
+def sketch(texts: DataFrame) -> np.ndarray:
+    """texts(text) -> by hash bucket the level of the shingles' document frequency over all of them, 4 MB for any corpus.
+
+    Each task sends its counts in slices; a slice is summed as a stream. Buckets of several shingles hold their sum, so a level is
+    never too low, and level 1 means that no other text has the shingle.
+    """
+    n = 1 << (SKETCH_BITS - SLICE_BITS)
     parts = texts.select("text").mapInArrow(_sliced, "part int, counts binary")
-    rows = parts.repartition(min(n, 16), "part").mapInArrow(_summed, "part int, counts binary").collect()
-    found = {r[0]: np.frombuffer(zlib.decompress(r[1]), dtype="int64") for r in rows}
-    zero = np.zeros(1 << SLICE_BITS, "int64")
-    return Sketch(
-        to_level(np.concatenate([found.get(k, zero) for k in range(n - 2)])),
-        np.minimum(found.get(n - 2, zero[: 1 << WORD_BITS]), 2**31 - 1).astype("int32"),
-        np.minimum(found.get(n - 1, zero[: 1 << WORD_BITS]), 65_535).astype("int32"),
-    )
-
-
-def bitmaps(text: np.ndarray, h: np.ndarray, n_texts: int) -> np.ndarray:
-    """256 bits of each text's shingle set; two texts differ in at most as many bits as shingles. text must ascend."""
-    out = np.zeros((n_texts, 4), dtype="uint64")
+    rows = parts.repartition(min(n, 12), "part").mapInArrow(_summed, "part int, levels binary").collect()
+    level = np.zeros(1 << SKETCH_BITS, dtype="uint8")
+    for part, levels in rows:
+        level[part << SLICE_BITS : (part + 1) << SLICE_BITS] = np.frombuffer(levels, dtype="uint8")
+    return level
+
+
+def bitmaps(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Up to 512 bits of each text's shingle set; text must ascend, n is the size of each set."""
+    out = np.zeros((len(n), 8), dtype="uint64")
     if len(text):
-        bit = (mixed(h ^ K3) >> np.uint64(56)).astype("int64")
+        bit = (mixed(h ^ K3) >> np.uint64(55)).astype("int64")
+        bit = np.where(n[text] >= LARGE, bit, bit & 255)
         mask = np.uint64(1) << (bit & 63).astype("uint64")
         first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-        for k in range(4):
+        for k in range(8):
             out[text[first], k] = np.bitwise_or.reduceat(np.where(bit >> 6 == k, mask, np.uint64(0)), first)
     return out
 
@@ -167,20 +182,42 @@ def needed(n: Column, m: Column) -> Column:
 
 
 def may_match(a: str, b: str) -> Column:
-    """Sizes within a factor of two, and bitmaps that differ in no more bits than the sets may differ in shingles."""
+    """Sizes within a factor of two, and bitmaps that differ in no more bits than the sets may differ in shingles.
+
+    Two sets' bitmaps differ in at most as many bits as the sets in shingles; a larger map is folded to compare it with a smaller.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITMAP[1:]), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+    word = lambda t, k: F.col(f"{t}.b{k}")
+    full = [F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(8)]
+    fold = [F.bit_count(word(a, k).bitwiseOR(word(a, k + 4)).bitwiseXOR(word(b, k).bitwiseOR(word(b, k + 4)))) for k in range(4)]
+    total = lambda xs: sum(xs[1:], xs[0])
+    differ = F.when(F.least(n, m) >= LARGE, total(full)).otherwise(total(fold))
     return (F.greatest(n, m) <= 2 * F.least(n, m)) & (differ <= n + m - 2 * needed(n, m))
 
 
+def prefixes(texts: pa.Array, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash, text and place of the rarest shingles of each text, just more than it may lack; by text its size and bitmap.
+
+    Ordered by (level, hash), the same for all texts. Shingles that no other text has are left out.
+    """
+    s = shingle(texts)
+    levels = level[bucket(s.hash)]
+    rows = distinct_by(s, levels)
+    text, h = s.text[rows], s.hash[rows]
+    n = np.bincount(text, minlength=s.n_texts).astype("int64")
+    rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+    kept = (rank < (n - (n + 1) // 2 + 1)[text]) & (levels[rows] != 1)
+    return h[kept], text[kept], rank[kept], n, bitmaps(text, h, n)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 30_000):
             part = batch.slice(start, 30_000)
             n = len(part)
             s = shingle(pa.concat_arrays([part.column(2), part.column(3)]))
-            h = s.hash[distinct_by(s, np.zeros(len(s.hash), "uint8"))]
-            t = s.text[distinct_by(s, np.zeros(len(s.hash), "uint8"))]
+            rows = distinct_by(s, np.zeros(len(s.hash), "uint8"))
+            h, t = s.hash[rows], s.text[rows]
             sizes = np.bincount(t, minlength=2 * n)
             key = ((t % n).astype("uint64") << np.uint64(48)) | (h >> np.uint64(16))
             key.sort()
