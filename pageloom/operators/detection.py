@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.text import bound
 from .recognition import ratio
 
 TR, TP = 0.8, 0.4
@@ -29,11 +30,6 @@ def paged(gt: DataFrame, pred: DataFrame, key: str, order: list[str]) -> DataFra
     return left.join(right, key, "full").select(key, F.coalesce("gt", none).alias("gt"), F.coalesce("pred", none).alias("pred"), F.coalesce("scores", F.expr("cast(array() as array<double>)")).alias("scores"))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: within a lambda, an expression named twice would be evaluated twice."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def places(a: Column) -> Column:
     """0 .. size - 1, empty for an empty array."""
     return F.transform(a, lambda _, k: k)

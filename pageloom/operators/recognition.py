@@ -28,9 +28,9 @@ def as_letters(seq: Column, vocabulary: Column) -> Column:
 
 def word_errors(ref: Column, hyp: Column) -> Column:
     """Word edit distance on the JVM: words become code points (up to 900,000 distinct ones in a pair)."""
-    r, h = t.words(ref), t.words(hyp)
-    vocabulary = F.array_distinct(F.concat(r, h))
-    return F.levenshtein(as_letters(r, vocabulary), as_letters(h, vocabulary))
+    pair = F.struct(t.words(ref).alias("r"), t.words(hyp).alias("h"))
+    full = t.bound(pair, lambda p: F.struct(p["r"].alias("r"), p["h"].alias("h"), F.array_distinct(F.concat(p["r"], p["h"])).alias("v")))
+    return t.bound(full, lambda p: F.levenshtein(as_letters(p["r"], p["v"]), as_letters(p["h"], p["v"])))
 
 
 def corpus_cer(pairs: DataFrame) -> DataFrame:

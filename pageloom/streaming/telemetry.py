@@ -153,11 +153,8 @@ def _folded(log, rows: pd.DataFrame, state: State, alerts: Alerts) -> pd.DataFra
     for row in records:
         for sub, made in enumerate(advance(state, row, alerts)):
             out.append({"log": log, "seq": row["seq"], "sub": sub, "attempt": state.attempt} | made)
-    frame = pd.DataFrame(out, columns=["log", *NAMES])
-    for c in ("attempt", "stage", "step", "decoded", "empty", "streak", "n_steps", "exit_code", "restart_streak"):
-        frame[c] = frame[c].astype("Int64")
-    frame["alert"] = frame["alert"].astype("boolean")
-    return frame
+    columns = {n: pd.Series([made.get(n) for made in out], dtype=object) for n in ("log", *NAMES)}
+    return pd.DataFrame(columns)
 
 
 def events(lines: DataFrame, alerts: Alerts = Alerts()) -> DataFrame:
