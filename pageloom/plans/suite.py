@@ -258,8 +258,9 @@ def q_wer(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_recognition_summary(spark: SparkSession, d: str) -> DataFrame:
-    """All recognition metrics in one row."""
-    return recognition.summary(doc_texts(spark, d), "doc_id")
+    """All recognition metrics of lines in one row."""
+    rows = x.hypotheses(spark, d).withColumn("line_id", F.concat_ws("-", "doc_id", "line_no"))
+    return recognition.summary(rows, "line_id")
 
 
 XT = "'<x_' || least(169, x{0} // 10) || '>'"
