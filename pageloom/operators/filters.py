@@ -101,18 +101,18 @@ def sentence_length(c: Column) -> Column:
 
 
 def manifest_error(r: Column, raw: Column) -> Column:
-    """First fault of a manifest record, null where it is valid. r: fields as JSON texts (see sources.manifest.FIELDS)."""
+    """First fault of a manifest record, null where it is valid. r: fields as JSON texts and the version's kind (sources.manifest)."""
     quoted = lambda c: c.startswith('"')
-    version = F.coalesce(r["version"], F.lit("1"))
     boxes = F.from_json(r["bboxes"], "array<string>")
-    parts = lambda b: F.from_json(b, "array<string>")
-    shaped = F.forall(boxes, lambda b: F.coalesce(b.startswith("[") & (F.size(parts(b)) == 5), F.lit(False)))
-    numeric = F.forall(boxes, lambda b: F.forall(F.slice(parts(b), 1, 4), lambda v: F.coalesce(v.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$|^true$|^false$"), F.lit(False))))
-    texts = F.forall(boxes, lambda b: b.rlike(r'"\s*\]$'))
+    kind = lambda b, k: F.schema_of_variant(F.try_variant_get(F.try_parse_json(b), f"$[{k}]", "variant"))
+    shaped = F.forall(boxes, lambda b: F.coalesce(b.startswith("[") & (F.size(F.from_json(b, "array<string>")) == 5), F.lit(False)))
+    number = lambda b, k: F.coalesce(kind(b, k).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), F.lit(False))
+    numeric = F.forall(boxes, lambda b: number(b, 0) & number(b, 1) & number(b, 2) & number(b, 3))
+    texts = F.forall(boxes, lambda b: F.coalesce(kind(b, 4) == "STRING", F.lit(False)))
     return (
         F.when(~raw.rlike(r"^\s*\{") | r.isNull(), "not_an_object")
-        .when(~version.rlike(r"^-?\d+$"), "version_not_an_integer")
-        .when(~version.isin(*map(str, MANIFEST_VERSIONS)), "version_not_supported")
+        .when(r["version"].isNotNull() & (r["version_kind"] != "BIGINT"), "version_not_an_integer")
+        .when(~F.coalesce(r["version"], F.lit("1")).isin(*map(str, MANIFEST_VERSIONS)), "version_not_supported")
         .when(r["image"].isNull() | ~quoted(r["image"]) | (r["image"] == '""'), "image_missing")
         .when(r["ref"].isNull() | ~quoted(r["ref"]), "ref_missing")
         .when(r["task"].isNotNull() & ~r["task"].isin(*[f'"{x}"' for x in TASKS]), "task_unknown")

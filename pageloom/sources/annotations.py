@@ -118,7 +118,7 @@ def quad_pages(rows: DataFrame, images: DataFrame, drop_empty: bool = False, fam
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """id, line_no, value of all lines of text files below a path; a file is one row until it is cut, so lines keep their order."""
-    rows = spark.read.option("wholetext", "true").text(path).select(t.stem(F.input_file_name()).alias("id"), "value")
+    rows = spark.read.text(path, wholetext=True).select(t.stem(F.input_file_name()).alias("id"), "value")
     return rows.select("id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
 
 

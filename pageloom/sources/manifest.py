@@ -22,12 +22,13 @@ def raw_field(value: Column, name: str) -> Column:
 
 
 def raw_fields(value: Column) -> Column:
-    return F.when(F.try_parse_json(value).isNotNull(), F.struct(*[raw_field(value, n).alias(n) for n in FIELD_NAMES]))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), "$.version", "variant"))
+    return F.when(F.try_parse_json(value).isNotNull(), F.struct(*[raw_field(value, n).alias(n) for n in FIELD_NAMES], kind.alias("version_kind")))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 1), value without blank and # lines. A file is cut as one row, which keeps its line numbers."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     rows = rows.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("k", "value"))
     return rows.select("file", (F.col("k") + 1).alias("line_no"), t.stripped(F.col("value")).alias("value")).filter("value <> '' and not startswith(value, '#')")
 
