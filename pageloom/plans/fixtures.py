@@ -15,9 +15,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small file would leave them in a few tasks; as they are otherwise."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() * 2 < n else df
+
+
 def gt_lines(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source, line_no, text, x1, y1, x2, y2."""
-    rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     rows = rows.select("doc_id", "source", "line_no", F.trim("raw").alias("text")).filter("text <> ''")
     x1 = F.lit(32) + (F.col("doc_id") * 7 + F.col("line_no") * 13) % 64
     y1 = F.lit(20) + 24 * F.col("line_no")

@@ -33,7 +33,9 @@ def query(sql: str | None = None):
     return add
 
 
-BOX = F.struct("x1", "y1", "x2", "y2")
+def own_box():
+    return F.struct("x1", "y1", "x2", "y2")
+
 PCT = ", ".join(f"v[least(n - 1, cast(floor({q} * n / 100) as bigint)) + 1] as p{q}" for q in audit.QS)
 WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
 
@@ -131,7 +133,7 @@ def q_page_filters(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_line_crops(spark: SparkSession, d: str) -> DataFrame:
     """SC13, P9, P13: crops of usable lines."""
-    rows = x.gt_lines(spark, d).select("doc_id", "line_no", g.line_crop(BOX, F.lit(1700), F.lit(2200)).alias("c")).filter("c is not null")
+    rows = x.gt_lines(spark, d).select("doc_id", "line_no", g.line_crop(own_box(), F.lit(1700), F.lit(2200)).alias("c")).filter("c is not null")
     return rows.select("doc_id", "line_no", F.col("c.crop.x1").alias("cx1"), F.col("c.crop.y1").alias("cy1"), F.col("c.box.x2").alias("w"), F.col("c.box.y2").alias("h"))
 
 
@@ -144,8 +146,8 @@ INTER = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))::bigint * greates
 )
 def q_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping boxes of a page; an equi join on the page and the strip of 24 px a box begins in or before."""
-    a = x.gt_lines(spark, d).select("doc_id", "line_no", BOX.alias("a"), F.explode(F.sequence(F.floor(F.col("y1") / 24), F.floor(F.col("y2") / 24))).alias("strip"))
-    b = x.predictions(spark, d).select("doc_id", F.col("line_no").alias("pred_line"), "k", BOX.alias("b"), F.explode(F.sequence(F.floor(F.col("y1") / 24), F.floor(F.col("y2") / 24))).alias("strip"))
+    a = x.gt_lines(spark, d).select("doc_id", "line_no", own_box().alias("a"), F.explode(F.sequence(F.floor(F.col("y1") / 24), F.floor(F.col("y2") / 24))).alias("strip"))
+    b = x.predictions(spark, d).select("doc_id", F.col("line_no").alias("pred_line"), "k", own_box().alias("b"), F.explode(F.sequence(F.floor(F.col("y1") / 24), F.floor(F.col("y2") / 24))).alias("strip"))
     first = F.floor(F.greatest(F.col("a.y1"), F.col("b.y1")) / 24) == F.col("strip")  # a pair counts in the first strip it shares
     rows = a.join(b, ["doc_id", "strip"]).filter(first).withColumn("inter", g.intersection(F.col("a"), F.col("b"))).filter("inter > 0")
     return rows.select("doc_id", "line_no", "pred_line", "k", "inter", g.iou(F.col("a"), F.col("b")).alias("iou"))
@@ -634,7 +636,7 @@ def q_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {GT} select doc_id, line_no, x1 - 3 as ex1, y2 + 3 as ey2, (x1 <= 60 and y1 <= 500 and x2 >= 100 and y2 >= 30)::boolean as holds, least(1700.0::double / (x2 + 100), 2200.0::double / (y2 + 100), 1.0) as scale, round_even((x2 + 100) * least(1700.0::double / (x2 + 100), 2200.0::double / (y2 + 100), 1.0::double), 0)::int as fit_w, ((y2 + 100 + 31) // 32 * 32)::int as padded from gt""")
 def q_page_geometry(spark: SparkSession, d: str) -> DataFrame:
     """Expansion, containment, fitting and filling."""
-    b, w, h = BOX, F.col("x2") + 100, F.col("y2") + 100
+    b, w, h = own_box(), F.col("x2") + 100, F.col("y2") + 100
     e, f = g.expanded(b, 3), g.fit_size(w, h, F.lit(1700), F.lit(2200))
     return x.gt_lines(spark, d).select("doc_id", "line_no", e["x1"].alias("ex1"), e["y2"].alias("ey2"), g.contains(b, g.box(60, 500, 100, 30)).alias("holds"), f["scale"].alias("scale"), f["w"].alias("fit_w"), g.up_to_multiple(h, 32).alias("padded"))
 

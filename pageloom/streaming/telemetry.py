@@ -94,7 +94,7 @@ def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
 def advance(state: State, row: dict, alerts: Alerts) -> list[dict]:
     """Events of one parsed line, in order; changes the state."""
     event = row["kind"]
-    value = lambda n: None if row[n] is None or (isinstance(row[n], float) and math.isnan(row[n]) and n not in ("loss", "text_loss", "loc_loss", "val_loss")) else row[n]
+    value = lambda n: None if row[n] is None or row[n] != row[n] else row[n]  # noqa: E731, PLR0124 - NaN
     whole = lambda n: None if value(n) is None else int(value(n))
     if event == "stage_header":
         stage = whole("stage")
@@ -149,7 +149,8 @@ OUTPUT = "log string, " + EVENT
 
 def _folded(log, rows: pd.DataFrame, state: State, alerts: Alerts) -> pd.DataFrame:
     out = []
-    records = rows.astype(object).where(rows.notna() | rows.map(lambda v: isinstance(v, float) and math.isnan(v)), None).to_dict("records") if len(rows) else []
+    names = list(rows.columns)
+    records = (dict(zip(names, values, strict=True)) for values in zip(*(rows[n].tolist() for n in names), strict=True))
     for row in records:
         for sub, made in enumerate(advance(state, row, alerts)):
             out.append({"log": log, "seq": row["seq"], "sub": sub, "attempt": state.attempt} | made)
@@ -160,10 +161,11 @@ def _folded(log, rows: pd.DataFrame, state: State, alerts: Alerts) -> pd.DataFra
 def events(lines: DataFrame, alerts: Alerts = Alerts()) -> DataFrame:
     """All events of whole logs. A log is one ordered fold; logs run in parallel."""
 
-    def go(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def go(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _folded(key[0], pdf.sort_values("seq", kind="stable"), State(), alerts)
 
-    return parsed(lines).groupBy("log").applyInPandas(go, OUTPUT)
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that the small rows of a slow fold aren't put together
+    return parsed(lines).repartition(n, "log").groupBy("log").applyInPandas(go, OUTPUT)
 
 
 def stream(spark: SparkSession, folder: str, schema: str = "log string, seq long, ts double, line string") -> DataFrame:
