@@ -84,7 +84,7 @@ def _settle(rows: DataFrame, groups: dict, land: bool, seed: int) -> DataFrame:
     spark = rows.sparkSession
     numbers = F.broadcast(spark.createDataFrame([(m, s, g) for (m, s), g in groups.items()], "mix_name string, source string, groups long"))
 
-    def fly(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "item_id"], kind="stable")  # the largest fly first, the smallest land
         pdf = pdf.reset_index(drop=True)
         pdf["p"] = flight(pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy(), abs(hash((seed, len(pdf), int(pdf["n_tokens"].sum())))) % 2**32, land)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, line_kinds, mixing, near_dup, overlap, packing, reading_level, token_budget
+from .oracle import ORACLE  # noqa: F401 - registered beside QUERIES
 from .common import label_languages, load_tokenizer, small_rows, table, token_size
 
 
@@ -173,5 +174,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_profile": p8_profile,
 }
-
-ORACLE: dict[str, str] = {}
