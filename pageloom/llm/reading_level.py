@@ -61,28 +61,66 @@ def syllables(word: str) -> int:
     return max(1, len(re.findall(r"[aeiouy]+", word)) - (word.endswith("e") and len(word) > 3))
 
 
-def features(words: list[str], word_level: dict[str, float], by_length: dict[int, float]) -> list[float]:
-    low = [w.lower() for w in words]
-    names = [w[0].isupper() and k > 0 for k, w in enumerate(words)]
-    content = [w for w, name in zip(low, names, strict=True) if w not in FUNCTION and not name and len(w) > 2] or low
-    sizes = [len(w) for w in content]
-    n = len(low)
-    levels = [word_level.get(w, by_length.get(min(len(w), 16), 2.5)) for w in content]
-    return [
-        np.log(n),
-        float(np.mean(sizes)),
-        sum(s >= 6 for s in sizes) / len(sizes),
-        sum(s >= 9 for s in sizes) / len(sizes),
-        sum(s >= 12 for s in sizes) / len(sizes),
-        sum(s >= 15 for s in sizes) / len(sizes),
-        float(np.mean([syllables(w) for w in content])),
-        sum(w in JOINING for w in low) / np.sqrt(n),
-        min(3, sum(w in ("which", "that", "who") for w in low)),
-        sum(w in FUNCTION for w in low) / n,
-        float(np.mean(levels)),
-        float(np.max(levels)),
-        float(np.min(levels)),
-    ]
+RELATIVE = frozenset(("which", "that", "who"))
+
+
+class WordFacts:
+    """What the features need of a word, computed once per distinct word; the memo is of bounded size."""
+
+    def __init__(self, word_level: dict[str, float], by_length: dict[int, float], limit: int = 300_000):
+        self.word_level, self.by_length, self.limit = word_level, by_length, limit
+        self.place: dict[str, int] = {}
+        self.rows: list[tuple] = []
+
+    def of(self, word: str) -> int:
+        k = self.place.get(word)
+        if k is None:
+            low = word.lower()
+            level = self.word_level.get(low, self.by_length.get(min(len(low), 16), 2.5))
+            k = self.place[word] = len(self.rows)
+            self.rows.append((len(low), syllables(low), low in FUNCTION, low in JOINING, low in RELATIVE, word[0].isupper(), level))
+        return k
+
+    def table(self, words: list[str]) -> np.ndarray:
+        if len(self.place) > self.limit:
+            self.place.clear()
+            self.rows.clear()
+        at = [self.of(w) for w in words]
+        return np.array(self.rows, dtype="float64")[at]
+
+
+def features(parts: list[list[str]], facts: WordFacts) -> np.ndarray:
+    """One row per sentence: length, word lengths, syllables, joining and relative words, function words, vocabulary levels.
+
+    Word figures are over content words: no function words, names within the sentence or words of two letters; over all words
+    where a sentence has none.
+    """
+    n = np.array([len(p) for p in parts])
+    start = np.cumsum(n) - n
+    t = facts.table([w for p in parts for w in p])
+    size, beats, function, joining, relative, upper, level = t.T
+    inside = np.ones(len(t), dtype=bool)
+    inside[start] = False
+    content = (function == 0) & ~((upper == 1) & inside) & (size > 2)
+    none = np.add.reduceat(content.astype("float64"), start) == 0
+    content |= np.repeat(none, n)
+    total = lambda x: np.add.reduceat(np.where(content, x, 0.0), start)
+    m = total(1.0)
+    return np.stack(
+        [
+            np.log(n),
+            total(size) / m,
+            *(total((size >= k).astype("float64")) / m for k in (6, 9, 12, 15)),
+            total(beats) / m,
+            np.add.reduceat(joining, start) / np.sqrt(n),
+            np.minimum(3, np.add.reduceat(relative, start)),
+            np.add.reduceat(function, start) / n,
+            total(level) / m,
+            np.maximum.reduceat(np.where(content, level, -1e9), start),
+            np.minimum.reduceat(np.where(content, level, 1e9), start),
+        ],
+        axis=1,
+    )
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +141,13 @@ class Ranker:
     def __init__(self, mean, scale, weight, knots, values, word_level, by_length, levels):
         self.mean, self.scale, self.weight, self.knots, self.values = mean, scale, weight, knots, values
         self.word_level, self.by_length, self.levels = word_level, by_length, levels
+        self.facts = WordFacts(word_level, by_length)
 
     @classmethod
     def fit(cls, anchors: list[tuple[int, str]], penalty: float = 1.0, steps: int = 300) -> Ranker:
         texts = [(level, sentences(text.split("\n"))) for level, text in anchors if text and text.strip()]
-        if not texts:
-            raise ValueError("no anchor has a text")
+        if not any(parts for _, parts in texts):
+            raise ValueError("no anchor has a sentence")
         totals: dict[str, Counter] = defaultdict(Counter)
         own = []
         for level, parts in texts:
@@ -131,11 +170,10 @@ class Ranker:
 
         rows, y = [], []
         for (level, parts), c in zip(texts, own, strict=True):
-            wl, bl = table(c, level)
-            for ws in parts:
-                rows.append(features(ws, wl, bl))
-                y.append(level)
-        x, y = np.array(rows), np.array(y, dtype="float64")
+            if parts:
+                rows.append(features(parts, WordFacts(*table(c, level))))
+                y += [level] * len(parts)
+        x, y = np.concatenate(rows), np.array(y, dtype="float64")
         mean, scale = x.mean(0), x.std(0) + 1e-6
         z = (x - mean) / scale
         hi, lo = np.nonzero(y[:, None] > y[None, :])
@@ -157,7 +195,7 @@ class Ranker:
 
     def level_of(self, parts: list[list[str]]) -> np.ndarray:
         """Level of each sentence."""
-        z = (np.array([features(ws, self.word_level, self.by_length) for ws in parts]) - self.mean) / self.scale
+        z = (features(parts, self.facts) - self.mean) / self.scale
         fine = np.interp(z @ self.weight, self.knots, self.values)
         known = np.array(self.levels)
         return known[np.abs(fine[:, None] - known[None, :]).argmin(1)]
