@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from . import language_id, line_kinds, mixing, near_dup, overlap, packing, reading_level, token_budget
 from .oracle import ORACLE  # noqa: F401 - registered beside QUERIES
-from .common import label_languages, load_tokenizer, small_rows, table, token_size
+from .common import checkpoint, label_languages, load_tokenizer, small_rows, table, token_size
 
 
 def sized_documents(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, source, n_tokens of all documents."""
+    """item_id, source, n_tokens of all documents; sized once, as packing and mixing read the sizes several times."""
     size = token_size(load_tokenizer(table(spark, d, "tokenizer_vocab")), spark)
-    return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", size(F.coalesce("text", F.lit(""))).alias("n_tokens"))
+    return checkpoint(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", size(F.coalesce("text", F.lit(""))).alias("n_tokens")))
 
 
 def counted_records(spark: SparkSession, d: str) -> DataFrame:
