@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,8 +130,19 @@ def token_size(tokenizer: GreedyTokenizer, spark: SparkSession):
     return sizes
 
 
-def cores(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
+#: Characters of text that a model looks at together; a longer single text is looked at alone.
+BATCH_CHARS = 8_000_000
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded text, so that long texts don't meet in memory by the thousand."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy(zero_copy_only=False).astype("int64"))
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def tokenizer_path(name: str, folder: str = "/opt/tokenizers") -> str:

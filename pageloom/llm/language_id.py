@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LANGUAGES, label_languages, small_rows
+from .common import LANGUAGES, bounded, label_languages, small_rows
 
 UNREADABLE = "zxx"
 CLASSES = (*LANGUAGES, UNREADABLE)
@@ -335,7 +335,7 @@ def identify(items: DataFrame, model: WordModel | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, even = shared.value, np.log(np.full(len(CLASSES), 1.0 / len(CLASSES)))
-        for batch in batches:
+        for batch in bounded(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             declared = col["declared"].to_pylist()
             if known is None:

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
 from .language_id import best_paths, words_of
 
 KINDS = ("prose", "list", "table", "junk")
@@ -278,7 +279,7 @@ def describe(items: DataFrame, model: LineModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             src, ids, texts, units = (batch.column(i) for i in range(4))
             n = len(ids)
             lines, owner, _ = split_lines(texts)

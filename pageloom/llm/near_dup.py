@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
 from .shingles import BITMAP, MIN_DISTINCT, MIN_WORDS, classes, may_match, prefixes, sketch, verify, written
 
 SIGNATURES = "sig long, id long, n int, " + ", ".join(f"{x} long" for x in BITMAP)
@@ -36,7 +37,7 @@ def near_duplicates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = records.sparkSession.sparkContext.broadcast(sketch(reps))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             ids = batch.column(0).to_numpy()
             sig, text, _, n, maps = prefixes(batch.column(1), level.value)
             cols = [pa.array(sig.view("int64")), pa.array(ids[text]), pa.array(n[text].astype("int32")), *(pa.array(maps[text, k].view("int64")) for k in range(len(BITMAP)))]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import bounded, trimmed
 from .shingles import BITMAP, content_key, may_match, needed, prefixes, sketch, verify, written
 
 POSTINGS = "sig long, id long, n int, place int, " + ", ".join(f"{x} long" for x in BITMAP)
@@ -47,7 +47,7 @@ def index_filter(evaluation: DataFrame, sk) -> np.ndarray:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
+        for batch in bounded(batches):
             seen[filter_bit(prefixes(batch.column(0), sk.value)[0])] = True
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)], pa.binary())], ["k", "bits"])
@@ -86,7 +86,7 @@ def cross_split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = context.broadcast(index_filter(reps.filter("in_eval"), sk))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             ids = batch.column(0).to_numpy()
             sig, text, place, n, maps = prefixes(batch.column(1), sk.value)
             at = filter_bit(sig)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LANGUAGES, label_languages, small_rows
+from .common import LANGUAGES, bounded, label_languages, small_rows
 from .language_id import MIN_RUN, WordModel, classify, label_evidence
 from .line_kinds import KINDS, LineModel, shares, split_lines, statistics
 
@@ -221,7 +221,7 @@ def levels(items: DataFrame, languages: WordModel, lines: LineModel, ranker: Ran
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, chain, ranker = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             ids, texts, declared = (batch.column(k) for k in range(3))
             n = len(ids)
             (item, chosen, _, count, _), letters = classify(model, texts, np.array([label_evidence(x) for x in declared.to_pylist()]))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import bounded, checkpoint
 
 WIDTH = 3
 MIN_WORDS, MIN_DISTINCT = 15, 10
@@ -124,7 +124,7 @@ def to_level(count: np.ndarray) -> np.ndarray:
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, seen = np.zeros(1 << SKETCH_BITS, "int32"), False
-    for batch in batches:
+    for batch in bounded(batches):
         s, seen = shingle(batch.column(0)), True
         one = (s.text.astype("uint64") << np.uint64(48)) | (s.hash >> np.uint64(16))
         one.sort()
