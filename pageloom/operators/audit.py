@@ -176,3 +176,14 @@ def markdown(rows: DataFrame, title: str, limit: int = 1000) -> str:
     show = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
     body = ["| " + " | ".join(show(v) for v in r) + " |" for r in found]
     return "\n".join([f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *body, ""])
+
+
+def validation_summary(batches: DataFrame, run: str, order: list[str], loss: str = "loss", max_batches: int = 50) -> DataFrame:
+    """run, n_batches, n_skipped, mean_loss over the first ``max_batches`` batches of a run; batches without a finite loss are skipped.
+
+    The limit is the feature: a validation looks at no more batches. Only order and loss are sorted.
+    """
+    w = Window.partitionBy(run).orderBy(*order)
+    seen = batches.select(run, *order, F.col(loss).cast("double").alias("_l")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_batches)
+    ok = F.col("_l").isNotNull() & ~F.isnan("_l") & (F.abs("_l") < float("inf"))
+    return seen.groupBy(run).agg(F.count_if(ok).alias("n_batches"), F.count_if(~ok).alias("n_skipped"), F.avg(F.when(ok, F.col("_l"))).alias("mean_loss"))

@@ -31,9 +31,9 @@ def gt_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 GT = """gt as (
-  select doc_id, source, line_no, t as text, x1, y1, x1 + 8 * length(t) as x2, y1 + 16 + (doc_id + line_no) % 9 as y2 from (
-    select doc_id, source, line_no, t, 32 + (doc_id * 7 + line_no * 13) % 64 as x1, 20 + 24 * line_no as y1 from (
-      select doc_id, source, p.i - 1 as line_no, trim(p.s) as t
+  select doc_id, source, line_no, t as text, x1, y1, (x1 + 8 * length(t))::int as x2, (y1 + 16 + (doc_id + line_no) % 9)::int as y2 from (
+    select doc_id, source, line_no, t, (32 + (doc_id * 7 + line_no * 13) % 64)::int as x1, (20 + 24 * line_no)::int as y1 from (
+      select doc_id, source, (p.i - 1)::int as line_no, trim(p.s) as t
       from (select doc_id, source, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) as z from documents where text is not null),
            lateral (select z[1] as s, z[2] as i) p) where t <> ''))"""
 

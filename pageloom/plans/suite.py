@@ -55,7 +55,7 @@ def q_line_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {GT}, p as (select doc_id, any_value(source) as source, count(*) as n_lines, sum({WORDS}) as n_words from gt group by doc_id),
+    f"""with {GT}, p as (select doc_id, any_value(source) as source, count(*) as n_lines, sum({WORDS})::bigint as n_words from gt group by doc_id),
  a as (select source, count(*) as n, round(avg(n_words), 6) as mean, min(n_words) as min, max(n_words) as max, list_sort(list(n_words)) as v from p group by 1)
  select source, n, mean, min, max, {", ".join(f"v[cast(round_even({q / 100.0}::double * (n - 1), 0) as bigint) + 1] as p{q}" for q in audit.QS)} from a"""
 )
@@ -110,7 +110,7 @@ def q_line_filters(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as raw from documents where text is not null),
  c as (select doc_id, unnest(string_split(regexp_replace(trim(raw, chr(9) || ' ' || chr(13)), '([.!?])\s+([A-Z"''])', '\1' || chr(1) || '\2', 'g'), chr(1))) as s from l where trim(raw) <> '' and not starts_with(trim(raw), '=='))
- select doc_id, count(*) as n, sum(length(trim(s))) as chars from c where length(trim(s)) between 5 and 500 group by doc_id""")
+ select doc_id, count(*) as n, sum(length(trim(s)))::bigint as chars from c where length(trim(s)) between 5 and 500 group by doc_id""")
 def q_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of whole texts."""
     rows = table(spark, d, "documents").select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s"))
@@ -119,7 +119,7 @@ def q_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with {GT}, p as (select doc_id, any_value(source) as source, count(*) as n, sum({WORDS}) as words from gt group by doc_id)
- select source, count(*) as n_pages, sum(least(n, 40)) as n_lines from p where n <= 60 and words <= 800 group by source"""
+ select source, count(*) as n_pages, sum(least(n, 40))::bigint as n_lines from p where n <= 60 and words <= 800 group by source"""
 )
 def q_page_filters(spark: SparkSession, d: str) -> DataFrame:
     """empty pages and outliers dropped, lines capped."""
@@ -128,8 +128,8 @@ def q_page_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {GT} select doc_id, line_no, greatest(0, least(x1 - 4, 1700)) as cx1, greatest(0, least(y1 - 4, 2200)) as cy1, greatest(0, least(x2 + 4, 1700)) - greatest(0, least(x1 - 4, 1700)) as w,
- greatest(0, least(y2 + 4, 2200)) - greatest(0, least(y1 - 4, 2200)) as h from gt where y2 - y1 between 12 and 96 and x2 - x1 >= 32"""
+    f"""with {GT} select doc_id, line_no, greatest(0, least(x1 - 4, 1700))::int as cx1, greatest(0, least(y1 - 4, 2200))::int as cy1, (greatest(0, least(x2 + 4, 1700)) - greatest(0, least(x1 - 4, 1700)))::int as w,
+ (greatest(0, least(y2 + 4, 2200)) - greatest(0, least(y1 - 4, 2200)))::int as h from gt where y2 - y1 between 12 and 96 and x2 - x1 >= 32"""
 )
 def q_line_crops(spark: SparkSession, d: str) -> DataFrame:
     """SC13, P9, P13: crops of usable lines."""
@@ -656,3 +656,44 @@ def q_wrapped_pages(spark: SparkSession, d: str) -> DataFrame:
 
     pages = synth.paged_text(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), canvas_h=10_000_000)
     return pages.select("page_id", F.size("lines").alias("n_lines"))
+
+
+@query("""with r as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as k from events)
+ select user_id, count(*) filter (value is not null) as n_batches, count(*) filter (value is null) as n_skipped, round(avg(value), 6) as mean_loss from r where k <= 50 group by 1""")
+def q_validation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty batches of each run."""
+    rows = table(spark, d, "events").select("user_id", "event_id", "value")
+    return audit.validation_summary(rows, "user_id", ["event_id"], "value").withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-")
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("""select image, coalesce(task, 'ocr_layout') as task, ref, greatest(1, coalesce(len(bboxes), 0))::int as n_lines, coalesce(list_sum(list_transform(bboxes, lambda b: b.x1 + b.y2)), 0)::bigint as corners
+ from manifest where coalesce(image, '') <> '' and ref is not null and coalesce(task, 'ocr') in ('ocr', 'ocr_layout', 'region_ocr', 'find_it')""")
+def q_manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """SC11, SK1: valid records written as JSON lines and read strictly."""
+    boxes = F.transform("bboxes", lambda b: F.struct(F.coalesce(b["text"], F.lit("")).alias("text"), *[b[k].alias(k) for k in g.AXES]))
+    whole = F.array(F.struct(F.col("ref").alias("text"), *[F.lit(0).alias(k) for k in g.AXES]))
+    rows = table(spark, d, "manifest").filter("coalesce(image, '') <> '' and ref is not null").filter(F.coalesce("task", F.lit("ocr")).isin(*tasks.TASKS))
+    at = scratch(spark, "manifest")
+    manifest.write(rows.select("image", "ref", "task", F.when(F.size("bboxes") > 0, boxes).otherwise(whole).alias("lines")), at)
+    back = manifest.read(spark, at)
+    return back.select("image", "task", "ref", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, v: a + v["x1"] + v["y2"]).alias("corners"))
+
+
+@query(f"""with {GT}, p as (select doc_id, max(x2) as w from gt group by 1), s as (select doc_id, w, least(1.0::double, 850 / w::double) as s from p)
+ select s.doc_id, round_even(w * s, 0)::int as img_w, sum(round_even(gt.x2 * s, 0))::bigint as x2 from s join gt using (doc_id) group by 1, 2""")
+def q_cache_pages(spark: SparkSession, d: str) -> DataFrame:
+    """SC12, SK3, P20: pages fitted to a canvas, cached in two parts, read back."""
+    from . import verbs
+
+    pages = x.pages(spark, d).withColumn("img_w", F.array_max("lines.x2")).withColumn("img_h", F.lit(1))
+    at = scratch(spark, "cache")
+    verbs.cache_pages(pages.filter("page_id % 2 = 0"), at, (10, 850))
+    verbs.cache_pages(pages, at, (10, 850))
+    from ..sources import cache
+
+    return cache.read(spark, at).select(F.col("page_id").alias("doc_id"), "img_w", F.aggregate("lines", F.lit(0).cast("long"), lambda a, v: a + v["x2"]).alias("x2"))
