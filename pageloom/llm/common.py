@@ -130,6 +130,33 @@ def token_size(tokenizer: GreedyTokenizer, spark: SparkSession):
     return sizes
 
 
+class Rows:
+    """Rows of numbers that are added one by one and read by many at once."""
+
+    def __init__(self, width: int, dtype: str):
+        self.held, self.n = np.zeros((1024, width), dtype), 0
+
+    def add(self, row) -> int:
+        if self.n == len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.n] = row
+        self.n += 1
+        return self.n - 1
+
+    def extend(self, rows: np.ndarray) -> range:
+        while self.n + len(rows) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+        return range(self.n - len(rows), self.n)
+
+    def at(self, places) -> np.ndarray:
+        return self.held[np.asarray(places, dtype="int64")]
+
+    def clear(self) -> None:
+        self.n = 0
+
+
 #: Characters of text that a model looks at together; a longer single text is looked at alone.
 BATCH_CHARS = 8_000_000
 
@@ -144,7 +171,3 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             yield batch.slice(start, stop - start)
             start = stop
 
-
-def tokenizer_path(name: str, folder: str = "/opt/tokenizers") -> str:
-    """A public tokenizer's file; the folder is a parameter and nothing is copied from it."""
-    return os.path.join(folder, name)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LANGUAGES, bounded, label_languages, small_rows
+from .common import LANGUAGES, Rows, bounded, label_languages, small_rows
 
 UNREADABLE = "zxx"
 CLASSES = (*LANGUAGES, UNREADABLE)
@@ -32,6 +33,8 @@ CLASSES = (*LANGUAGES, UNREADABLE)
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 6_000_000
 LABEL_ERROR = 0.1
+#: A text of more letter words counts as this many in the fit, so that no single text makes up a language.
+TEXT_WORDS = 200
 #: Log probability of changing the language between two words.
 SWITCH = -9.0
 #: Letter words in a row that make a language count.
@@ -42,6 +45,7 @@ PRIOR_WEIGHT = 20.0
 MAX_HOSTS = 50_000
 TRIGRAM_BITS = 17
 LETTERS = re.compile(r"[^\W\d_]")
+VOWELS = re.compile("[aeiouy]")
 
 
 def segment_schema() -> str:
@@ -56,11 +60,7 @@ def clean(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}«»„“”‘’-–—*•|/").lower()
 
 
-def trigrams(word: str) -> list[int]:
-    w = f"^{word}$"
-    return [hash3(w[i : i + 3]) for i in range(len(w) - 2)]
-
-
+@lru_cache(maxsize=1 << 18)
 def hash3(s: str) -> int:
     h = 0
     for c in s:
@@ -68,6 +68,16 @@ def hash3(s: str) -> int:
     return (h ^ (h >> 13)) & ((1 << TRIGRAM_BITS) - 1)
 
 
+def gram_places(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed trigrams of all words in order, and the word each belongs to; an empty word has none."""
+    place, sizes = [], []
+    for w in names:
+        v = f"^{w}$"
+        place += [hash3(v[i : i + 3]) for i in range(len(v) - 2)] if w else []
+        sizes.append(len(w))
+    return np.array(place, dtype="int64"), np.repeat(np.arange(len(names)), sizes)
+
+
 class WordModel:
     """Log likelihood of words under each class: known words by count, all by tempered trigrams."""
 
@@ -76,26 +86,21 @@ class WordModel:
     def __init__(self, vocabulary: dict[str, int], words: np.ndarray, grams: np.ndarray):
         self.vocabulary, self.words, self.grams = vocabulary, words, grams
         self.memo: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = Rows(grams.shape[1], "float32")
 
     def __reduce__(self):
         return WordModel, (self.vocabulary, self.words, self.grams)
 
     @classmethod
-    def fit(cls, counts: list[Counter]) -> WordModel:
-        """counts: of each class, its words with (fractional) counts."""
-        n, size = len(counts), 1 << TRIGRAM_BITS
-        total = Counter()
-        for c in counts:
-            total.update(c)
-        known = {w: k for k, w in enumerate(sorted(w for w, v in total.items() if v >= 2.0))}
-        words, grams = np.zeros((len(known), n)), np.zeros((size, n))
-        for k, c in enumerate(counts):
-            for w, v in c.items():
-                if w in known:
-                    words[known[w], k] += v
-                np.add.at(grams[:, k], trigrams(w), v**0.5)  # types and tokens both count
-        sums = np.maximum(np.array([sum(c.values()) for c in counts]), 1.0)
+    def fit(cls, names: list[str], table: np.ndarray, grams_of: tuple[np.ndarray, np.ndarray] | None = None) -> WordModel:
+        """names: distinct words; table: their (fractional) counts under each class; grams_of: ``gram_places`` of the names."""
+        n, size = table.shape[1], 1 << TRIGRAM_BITS
+        place, owner = grams_of or gram_places(names)
+        at = np.flatnonzero(table.sum(1) >= 2.0)
+        known, words = {names[i]: k for k, i in enumerate(at.tolist())}, table[at]
+        # types and tokens both count
+        grams = np.stack([np.bincount(place, weights=np.sqrt(table[:, k])[owner], minlength=size) for k in range(n)], axis=1)
+        sums = np.maximum(table.sum(0), 1.0)
         shared = words.sum(1, keepdims=True) / sums.sum()
         words = np.log(0.95 * words / sums + 0.002 * shared + 2e-7)
         sums = np.maximum(grams.sum(0), 1.0)
@@ -104,19 +109,19 @@ class WordModel:
         mixed[:, n - 1] = 0.6 * grams[:, n - 1] / sums[n - 1] + 0.4 / 27_000
         return cls(known, words.astype("float32"), np.log(mixed).astype("float32"))
 
-    def score(self, word: str) -> np.ndarray:
-        w = clean(word)
-        if len(w) > 64:
-            w = w[:32] + w[-32:]  # a longer "word" is no word: enough to see that
-        s = self.TEMPER * self.grams[trigrams(w)].sum(0) if w else np.zeros(self.grams.shape[1], "float32")
-        k = self.vocabulary.get(w)
-        if k is not None:
-            s = 0.5 * s + self.words[k]
-        else:
-            s = s.copy()
-            s += np.float32(-4.0)
-            s[-1] += np.float32(1.0)
-        return np.maximum(s, s.max() - 14.0)  # no single word decides alone
+    def scores(self, names: list[str], grams_of: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """A row of scores for each clean word."""
+        place, owner = grams_of or gram_places(names)
+        s = np.zeros((len(names), self.grams.shape[1]), "float32")
+        if len(place):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            s[owner[first]] = self.TEMPER * np.add.reduceat(self.grams[place], first, axis=0)
+        at = np.array([self.vocabulary.get(w, -1) for w in names], dtype="int64")
+        old = at >= 0
+        s[old] = 0.5 * s[old] + self.words[at[old]]
+        s[~old] -= np.float32(4.0)
+        s[~old, -1] += np.float32(1.0)
+        return np.maximum(s, s.max(1, keepdims=True, initial=-np.inf) - 14.0)  # no single word decides alone
 
     def matrix(self, words: list[str]) -> np.ndarray:
         """Rows of scores, zero for what isn't a letter word (told by its second return value)."""
@@ -124,17 +129,13 @@ class WordModel:
         if len(memo) > 300_000:
             memo.clear()
             self.rows.clear()
-        at = np.empty(len(words), dtype="int64")
-        for i, w in enumerate(words):
-            k = memo.get(w)
-            if k is None:
-                k = -1
-                if letter_word(w):
-                    k = len(self.rows)
-                    self.rows.append(self.score(w).astype("float32"))
-                memo[w] = k
-            at[i] = k
-        return at
+        new = [w for w in words if w not in memo]
+        letters = [w for w in new if letter_word(w)]
+        memo.update(dict.fromkeys(new, -1))
+        for start in range(0, len(letters), 20_000):
+            part = letters[start : start + 20_000]
+            memo.update(zip(part, self.rows.extend(self.scores([clean(w) for w in part])), strict=True))
+        return np.array([memo[w] for w in words], dtype="int64")
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -208,7 +209,7 @@ def classify(model: WordModel, texts: pa.Array, prior: np.ndarray) -> tuple[tupl
     item = np.repeat(np.arange(len(lengths)), lengths)
     kept = at >= 0
     n_letter = np.bincount(item[kept], minlength=len(lengths)).astype("int64")
-    emit = np.asarray(model.rows, dtype="float32")[at[kept]] if kept.any() else np.zeros((0, len(CLASSES)), "float32")
+    emit = model.rows.at(at[kept])
     path = best_paths(emit, n_letter, prior)
     return segments(emit, n_letter, path, prior), n_letter
 
@@ -216,27 +217,41 @@ def classify(model: WordModel, texts: pa.Array, prior: np.ndarray) -> tuple[tupl
 # ---- training
 
 
-def prose_like(line: str) -> bool:
-    """Whether a line may teach a natural language: no line of one repeated word, of symbols or of words without vowels."""
-    words = [w for w in map(clean, line.split()) if letter_word(w)]
-    if not words or (len(words) >= 4 and len(set(words)) * 2 < len(words)):
-        return False
-    letters = sum(len(LETTERS.findall(w)) for w in words)
-    if letters < 0.6 * sum(len(w) for w in line.split()):
-        return False
-    latin = [w for w in words if w.isascii() and len(w) >= 4]
-    bare = sum(1 for w in latin if not re.search("[aeiouy]", w))
-    return bare * 4 <= max(len(latin), 1)
+@lru_cache(maxsize=1 << 18)
+def word_facts(word: str) -> tuple[str, int, bool, bool]:
+    """The clean form of a letter word (else an empty one), its letters, whether it is a longer Latin word, and one without vowels."""
+    w = clean(word)
+    letters = len(LETTERS.findall(w))
+    latin = letters >= 2 and w.isascii() and len(w) >= 4
+    return (w if letters >= 2 else ""), letters, latin, latin and not VOWELS.search(w)
+
+
+def line_words(line: str) -> tuple[list[str], bool]:
+    """Clean letter words of a line and whether it may teach a natural language: no line of one repeated word, of symbols or of words without vowels."""
+    pieces = line.split()
+    facts = [f for f in map(word_facts, pieces) if f[0]]
+    words = [f[0] for f in facts]
+    good = bool(words) and not (len(words) >= 4 and len(set(words)) * 2 < len(words))
+    good = good and sum(f[1] for f in facts) >= 0.6 * sum(map(len, pieces))
+    return words, good and sum(f[3] for f in facts) * 4 <= max(sum(f[2] for f in facts), 1)
 
 
 def fit(sample: list[tuple[str, list[str]]], rounds: int = 3) -> WordModel:
-    """Learn from (text, label languages): lines vote for their text's label, then for what the model finds, and so on."""
+    """Learn from (text, label languages): lines vote for their text's label, then for what the model finds, and so on.
+
+    Wrong labels put words of a large language into a small one, where a few of them outweigh the small language's own words. So
+    the first counts of a word leave out of each language what the label error alone explains (LABEL_ERROR of all its counts).
+    """
     lines: list[tuple[Counter, list[str], bool]] = []
+    weights: list[float] = []
     for text, langs in sample:
+        before = len(lines)
         for line in text.split("\n"):
-            words = Counter(w for w in map(clean, line.split()) if letter_word(w) and len(w) <= 64)
+            words, good = line_words(line)
             if words:
-                lines.append((words, [x for x in langs if x in LANGUAGES], prose_like(line)))
+                lines.append((Counter(words), [x for x in langs if x in LANGUAGES], good))
+        n = sum(sum(words.values()) for words, _, _ in lines[before:])
+        weights += [min(1.0, TEXT_WORDS / n)] * (len(lines) - before) if n else []
     soft = np.zeros((len(lines), len(CLASSES)))
     for i, (_, langs, good) in enumerate(lines):
         if not good:
@@ -247,19 +262,22 @@ def fit(sample: list[tuple[str, list[str]]], rounds: int = 3) -> WordModel:
     flat = np.array([vocabulary[w] for words, _, _ in lines for w in words], dtype="int64")
     value = np.array([v for words, _, _ in lines for v in words.values()], dtype="float64")
     owner = np.repeat(np.arange(len(lines)), [len(words) for words, _, _ in lines])
+    weight = np.array(weights)[owner] * value if lines else value
     bad = np.array([not good for _, _, good in lines], dtype=bool)
     declared = np.log(np.where(soft > 0, 1 - LABEL_ERROR, LABEL_ERROR / len(CLASSES)))
     declared[soft.sum(1) == 0] = 0
-    names = list(vocabulary)
-    model = None
-    for _ in range(rounds):
+    names, model = list(vocabulary), None
+    grams_of = gram_places(names)
+    for turn in range(rounds):
         table = np.zeros((len(vocabulary), len(CLASSES)))
         for k in range(len(CLASSES)):
-            table[:, k] = np.bincount(flat, weights=value * soft[owner, k], minlength=len(vocabulary))
-        model = WordModel.fit([Counter({names[i]: table[i, k] for i in np.flatnonzero(table[:, k] > 1e-3)}) for k in range(len(CLASSES))])
-        emit = np.array([model.score(w) for w in names]) if names else np.zeros((0, len(CLASSES)))
-        sums = np.zeros((len(lines), len(CLASSES)))
-        np.add.at(sums, owner, emit[flat] * value[:, None])
+            table[:, k] = np.bincount(flat, weights=weight * soft[owner, k], minlength=len(vocabulary))
+        if not turn:
+            natural = table[:, : len(LANGUAGES)]
+            natural -= np.minimum(natural, LABEL_ERROR * natural.sum(1, keepdims=True))
+        model = WordModel.fit(names, table, grams_of)
+        emit = model.scores(names, grams_of)
+        sums = np.stack([np.bincount(owner, weights=emit[flat, k] * value, minlength=len(lines)) for k in range(len(CLASSES))], axis=1)
         sums = 0.5 * sums + declared
         sums -= sums.max(1, keepdims=True, initial=-np.inf)
         soft = np.exp(sums)
@@ -268,19 +286,31 @@ def fit(sample: list[tuple[str, list[str]]], rounds: int = 3) -> WordModel:
     return model
 
 
-def train(items: DataFrame, rows: int = SAMPLE_ROWS) -> WordModel:
-    """Fit on at most ``rows`` labelled texts per item set, taken by hash order of the id; long texts count up to a total."""
-    sample: list[tuple[str, list[str]]] = []
+def sampled(items: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str, list[str]]]:
+    """(src, text, label languages) of about ``rows`` labelled texts per item set, up to SAMPLE_CHARS characters of each set.
+
+    Ids whose hash is under a threshold are taken, so tasks send no more than what is used, whatever their number. A set's texts
+    count in hash order until they reach the total; a text that alone exceeds it isn't taken.
+    """
     labelled = items.filter((F.size("declared") > 0) & F.col("text").isNotNull())
-    sources = [r[0] for r in small_rows(items.select("src").distinct(), "item sets", 100)]
-    for src in sorted(sources):
-        chars = 0
-        for r in labelled.filter(F.col("src") == src).orderBy(F.xxhash64("item_id", F.lit(7)), "item_id").select("text", "declared").limit(rows).toLocalIterator():
-            chars += len(r[0])
-            if chars > SAMPLE_CHARS:
-                break
-            sample.append((r[0], list(r[1])))
-    return fit(sample)
+    h = F.pmod(F.xxhash64(F.col("item_id"), F.lit(7)), F.lit(1 << 40))
+    counts = {r[0]: r[1] for r in small_rows(labelled.groupBy("src").count(), "item sets", 100)}
+    share = lambda n: F.lit(int(min(1.0, rows / n) * (1 << 40)))
+    taken = F.lit(False)
+    for src, n in counts.items():
+        taken = taken | ((F.col("src") == src) & (h < share(n)))
+    picked = labelled.filter(taken & (F.length("text") <= SAMPLE_CHARS)).select("src", h.alias("h"), "item_id", "text", "declared").limit(2 * rows * max(len(counts), 1))
+    out, chars = [], Counter()
+    for r in sorted(picked.toLocalIterator(), key=lambda r: (r["src"], r["h"], r["item_id"], r["text"])):
+        chars[r["src"]] += len(r["text"])
+        if chars[r["src"]] <= SAMPLE_CHARS:
+            out.append((r["src"], r["text"], list(r["declared"])))
+    return out
+
+
+def train(items: DataFrame, rows: int = SAMPLE_ROWS) -> WordModel:
+    """Fit on the sample of labelled texts."""
+    return fit([(text, langs) for _, text, langs in sampled(items, rows)])
 
 
 # ---- priors

@@ -124,7 +124,6 @@ def statistics(lines: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, dict[str
     codes, vocabulary, lengths = words_of(lines)
     usual = np.array([w.strip(".,;:!?\"'()«»").lower().rpartition("'")[2] in COMMON_WORDS for w in vocabulary], dtype=bool)
     common = np.bincount(np.repeat(np.arange(n), lengths), weights=usual[codes], minlength=n) if len(codes) else np.zeros(n)
-    first_word = np.where(words > 0, 0, 0)
     space_at = np.flatnonzero(is_space)
     first_word = space_at[np.minimum(np.searchsorted(space_at, start), len(space_at) - 1)] - start
     # neighbours and documents
@@ -134,13 +133,11 @@ def statistics(lines: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, dict[str
     widest = np.zeros(len(docs))
     np.maximum.at(widest, where, length)
     next_word = np.r_[first_word[1:], 0]
-    next_length = np.r_[length[1:], 0]
     wraps = np.where(same_next, np.where(length + 1 + next_word > widest[where] - 3, 2, 1), 0)
     per = lambda x: np.bincount(where, weights=x, minlength=len(docs))
     n_lines = per(np.ones(n))
     doc_wrap = per(wraps == 2) / np.maximum(n_lines - 1, 1)
     doc_sentence = per(sentence) / np.maximum(per(words), 1)
-    doc_numbers = per(numbers) / np.maximum(per(words), 1)
     doc_bullet = per(first >= 4) / n_lines
     doc_columns = per((columns >= 2) | (gaps >= 2) | (numbers >= 2)) / n_lines
     size = np.maximum(length, 1)
@@ -167,7 +164,7 @@ def statistics(lines: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, dict[str
             (starts_low * 1 + same_prev * 2).astype("int8"),
             _cut(doc_wrap[where], 0.25, 0.55, 0.8),
             _cut(doc_sentence[where], 0.003, 0.02, 0.045, 0.08),
-            _cut(np.maximum(doc_bullet, doc_columns)[where] + 0 * doc_numbers[where] + 0 * next_length, 0.15, 0.5, 0.8),
+            _cut(np.maximum(doc_bullet, doc_columns)[where], 0.15, 0.5, 0.8),
         ],
         axis=1,
     )

@@ -142,9 +142,10 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 def levelled_documents(spark: SparkSession, d: str) -> DataFrame:
     items = document_items(spark, d)
-    languages = language_id.train(items.withColumn("declared", label_languages(F.col("label"))))
+    sample = language_id.sampled(items.withColumn("declared", label_languages(F.col("label"))))
+    languages = language_id.fit([(text, langs) for _, text, langs in sample])
     lines = line_kinds.train(items, table(spark, d, "page_labels"))
-    return reading_level.levels(items, languages, lines, reading_level.train(table(spark, d, "level_anchors")))
+    return reading_level.levels(items, languages, lines, reading_level.train(table(spark, d, "level_anchors"), sample, languages, lines))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

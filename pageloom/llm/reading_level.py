@@ -1,9 +1,12 @@
 """Problem 8: reading level of English documents, by a linear pairwise ranker with isotonic calibration.
 
-Sentences of the graded anchor texts give pairs (a sentence of a higher level, one of a lower level). A linear scorer over syntax
-and vocabulary features learns to rank them (logistic loss on feature differences); isotonic regression turns scores into levels.
-A document has the level of most of its sentences. Vocabulary features of an anchor's own sentences are computed without that
-anchor, so the ranker doesn't learn the anchors by heart.
+Graded documents give pairs: a sentence of a document of a higher level, one of a document of a lower level. A linear scorer over
+syntax and vocabulary features learns to rank them (logistic loss on feature differences); isotonic regression turns scores into
+levels. A document has the level of most of its sentences.
+
+The first graded documents are the anchors; vocabulary features of an anchor's own sentences are computed without that anchor, so
+the ranker doesn't learn the anchors by heart. They are few, and most words of a corpus aren't in them. So the ranker then grades a
+bounded sample of English texts, keeps those of which most sentences agree, and is fitted again on these and the anchors.
 """
 
 from __future__ import annotations
@@ -17,11 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LANGUAGES, bounded, label_languages, small_rows
+from .common import LANGUAGES, Rows, bounded, label_languages, small_rows
 from .language_id import MIN_RUN, WordModel, classify, label_evidence
 from .line_kinds import KINDS, LineModel, shares, split_lines, statistics
 
 MAX_ANCHORS = 10_000
+#: Bounds of the fit: English texts graded beside the anchors, their characters in all, and sentence pairs.
+SAMPLE_TEXTS = 1000
+SAMPLE_CHARS = 1_500_000
+PAIRS = 60_000
+#: Share of its sentences that must agree for a graded text to count, and how often the fit is repeated.
+AGREED = 0.6
+ROUNDS = 3
 # English words that join clauses, and common English function words.
 JOINING = frozenset("which that who whom whose because although though if since when while whereas until unless before after so but and or as than where albeit inasmuch insofar notwithstanding therefore".split())
 FUNCTION = frozenset("a an the this that these those my your our their his her its every any one of to in on at by for with from about into under behind near past next before after as is was has had have been be did not can cannot must may should will would and but or so if since because although when until we you they she he it nobody".split())
@@ -30,10 +40,11 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _MARK = re.compile(r"^\s*(?:[-–—•*·]|\(?\w{1,3}[.)]|\[.?\])\s+")
 
 
-def sentences(lines: list[str], vocabulary: dict[str, float] | None = None) -> list[list[str]]:
-    """Word lists of the sentences of prose lines; words broken at a line's end are joined.
+def sentences(lines: list[str]) -> list[list[str]]:
+    """Word lists of the sentences of prose lines, of three words and more; words broken at a line's end are joined.
 
-    Long stretches without an end mark are also cut before a capitalised word that is known in lower case.
+    Sentences end at a mark, and, as marks get lost, before a capitalised function word that comes after three words or more; not so
+    in texts in capitals or titles, where half the words begin with one.
     """
     text = ""
     for line in lines:
@@ -45,10 +56,11 @@ def sentences(lines: list[str], vocabulary: dict[str, float] | None = None) -> l
     out = []
     for part in _END.split(text):
         words = _WORD.findall(part)
-        if vocabulary and len(words) > 1:
+        upper = [k for k, w in enumerate(words) if w[0].isupper()]
+        if len(upper) * 2 < len(words):
             start = 0
-            for k in range(2, len(words)):
-                if words[k][0].isupper() and words[k].lower() in FUNCTION and k - start >= 3:
+            for k in upper:
+                if k - start >= 3 and words[k].lower() in FUNCTION:
                     out.append(words[start:k])
                     start = k
             words = words[start:]
@@ -70,23 +82,21 @@ class WordFacts:
     def __init__(self, word_level: dict[str, float], by_length: dict[int, float], limit: int = 300_000):
         self.word_level, self.by_length, self.limit = word_level, by_length, limit
         self.place: dict[str, int] = {}
-        self.rows: list[tuple] = []
+        self.rows = Rows(7, "float64")
 
     def of(self, word: str) -> int:
         k = self.place.get(word)
         if k is None:
             low = word.lower()
             level = self.word_level.get(low, self.by_length.get(min(len(low), 16), 2.5))
-            k = self.place[word] = len(self.rows)
-            self.rows.append((len(low), syllables(low), low in FUNCTION, low in JOINING, low in RELATIVE, word[0].isupper(), level))
+            k = self.place[word] = self.rows.add((len(low), syllables(low), low in FUNCTION, low in JOINING, low in RELATIVE, word[0].isupper(), level))
         return k
 
     def table(self, words: list[str]) -> np.ndarray:
         if len(self.place) > self.limit:
             self.place.clear()
             self.rows.clear()
-        at = [self.of(w) for w in words]
-        return np.array(self.rows, dtype="float64")[at]
+        return self.rows.at([self.of(w) for w in words])
 
 
 def features(parts: list[list[str]], facts: WordFacts) -> np.ndarray:
@@ -123,12 +133,13 @@ def features(parts: list[list[str]], facts: WordFacts) -> np.ndarray:
     )
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: ascending knots and non-decreasing values of the least-squares fit."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: ascending knots and non-decreasing values of the weighted least-squares fit."""
     order = np.argsort(x, kind="stable")
+    weight = np.ones(len(x)) if weight is None else weight
     blocks: list[list[float]] = []
-    for xi, yi in zip(x[order], y[order], strict=True):
-        blocks.append([float(yi), 1.0, float(xi), float(xi)])
+    for xi, yi, wi in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append([yi, wi, xi, xi])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v, w, _, hi = blocks.pop()
             b = blocks[-1]
@@ -137,61 +148,95 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots, np.repeat([b[0] for b in blocks], 2)
 
 
+def vocabulary(parts: list[list[str]]) -> Counter:
+    """Words of a document's sentences but names within them; a word counts up to three times."""
+    counts = Counter(w.lower() for ws in parts for k, w in enumerate(ws) if not (w[0].isupper() and k))
+    return Counter({w: min(n, 3) for w, n in counts.items()})
+
+
+def pair_weights(z: np.ndarray, y: np.ndarray, pairs: int, penalty: float, seed: int = 0) -> np.ndarray:
+    """Weights of the linear scorer from sentence pairs of all pairs of levels: all of them, or evenly drawn up to ``pairs``."""
+    rng, by = np.random.default_rng(seed), [np.flatnonzero(y == k) for k in np.unique(y)]
+    both = [(a, b) for i, a in enumerate(by) for b in by[i + 1 :]]
+    each = pairs // max(len(both), 1)
+    lo, hi = [], []
+    for a, b in both:
+        n = len(a) * len(b)
+        at = np.arange(n) if n <= each else rng.integers(0, n, each)
+        lo.append(a[at // len(b)])
+        hi.append(b[at % len(b)])
+    w = np.zeros(z.shape[1])
+    if not both:
+        return w
+    d = z[np.concatenate(hi)] - z[np.concatenate(lo)]
+    for _ in range(100):  # Newton steps of the pairwise logistic loss
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + penalty * np.eye(len(w)), d.T @ (1 - p) - penalty * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 class Ranker:
     def __init__(self, mean, scale, weight, knots, values, word_level, by_length, levels):
         self.mean, self.scale, self.weight, self.knots, self.values = mean, scale, weight, knots, values
         self.word_level, self.by_length, self.levels = word_level, by_length, levels
         self.facts = WordFacts(word_level, by_length)
 
+    def __reduce__(self):
+        return Ranker, (self.mean, self.scale, self.weight, self.knots, self.values, self.word_level, self.by_length, self.levels)
+
     @classmethod
-    def fit(cls, anchors: list[tuple[int, str]], penalty: float = 1.0, steps: int = 300) -> Ranker:
-        texts = [(level, sentences(text.split("\n"))) for level, text in anchors if text and text.strip()]
-        if not any(parts for _, parts in texts):
-            raise ValueError("no anchor has a sentence")
-        totals: dict[str, Counter] = defaultdict(Counter)
-        own = []
-        for level, parts in texts:
-            c: Counter = Counter(w.lower() for ws in parts for k, w in enumerate(ws) if not (w[0].isupper() and k))
-            own.append(c)
+    def fit_graded(cls, graded: list[tuple[int, list[list[str]]]], left_out: bool = True, penalty: float = 1.0, pairs: int = PAIRS) -> Ranker:
+        """graded: level and sentences of each document; with ``left_out`` a document's words don't grade its own sentences."""
+        graded = [(level, parts) for level, parts in graded if parts]
+        if not graded:
+            raise ValueError("no graded text has a sentence")
+        totals: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        own = [vocabulary(parts) for _, parts in graded]
+        for (level, _), c in zip(graded, own, strict=True):
             for w, v in c.items():
-                totals[w][level] += v
-        mean_level = float(np.mean([level for level, _ in texts]))
+                t = totals[w]
+                t[0] += v
+                t[1] += level * v
+        mean_level = float(np.mean([level for level, _ in graded]))
 
-        def table(left: Counter | None = None, left_level: int = 0) -> tuple[dict[str, float], dict[int, float]]:
+        def table(left: Counter = Counter(), left_level: int = 0) -> tuple[dict[str, float], dict[int, float]]:
             out, sums = {}, defaultdict(list)
-            for w, c in totals.items():
-                n, s = sum(c.values()), sum(k * v for k, v in c.items())
-                if left is not None and w in left:
+            for w, (n, s) in totals.items():
+                if w in left:
                     n, s = n - left[w], s - left_level * left[w]
                 if n > 0:
                     out[w] = (s + mean_level) / (n + 1)
                     sums[min(len(w), 16)].append(s / n)
             return out, {k: float(np.mean(v)) for k, v in sums.items()}
 
-        rows, y = [], []
-        for (level, parts), c in zip(texts, own, strict=True):
-            if parts:
-                rows.append(features(parts, WordFacts(*table(c, level))))
-                y += [level] * len(parts)
-        x, y = np.concatenate(rows), np.array(y, dtype="float64")
+        whole = table()
+        shared = WordFacts(*whole)
+        rows = [features(parts, WordFacts(*table(c, level)) if left_out else shared) for (level, parts), c in zip(graded, own, strict=True)]
+        x, y = np.concatenate(rows), np.repeat([level for level, _ in graded], [len(parts) for _, parts in graded]).astype("float64")
         mean, scale = x.mean(0), x.std(0) + 1e-6
         z = (x - mean) / scale
-        hi, lo = np.nonzero(y[:, None] > y[None, :])
-        if len(hi) > 200_000:
-            pick = np.random.default_rng(0).choice(len(hi), 200_000, replace=False)
-            hi, lo = hi[pick], lo[pick]
-        d, w = z[hi] - z[lo], np.zeros(z.shape[1])
-        for _ in range(steps if len(d) else 0):  # Newton steps of the pairwise logistic loss
-            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-            grad = d.T @ (1 - p) - penalty * w
-            hess = (d * (p * (1 - p))[:, None]).T @ d + penalty * np.eye(len(w))
-            step = np.linalg.solve(hess, grad)
-            w = w + step
-            if np.abs(step).max() < 1e-6:
-                break
-        knots, values = isotonic(z @ w, y)
-        wl, bl = table()
-        return cls(mean, scale, w, knots, values, wl, bl, sorted(set(y.astype(int).tolist())))
+        weight = pair_weights(z, y, pairs, penalty)
+        sizes = dict(zip(*np.unique(y, return_counts=True), strict=True))
+        knots, values = isotonic(z @ weight, y, np.array([1 / sizes[v] for v in y]))  # levels weigh the same, whatever their sentences
+        return cls(mean, scale, weight, knots, values, *whole, sorted(int(k) for k in sizes))
+
+    @classmethod
+    def fit(cls, anchors: list[tuple[int, str]], texts: list[list[list[str]]] = (), rounds: int = ROUNDS) -> Ranker:
+        """Fit on anchors (level, text), then on these and the sentence lists of ungraded texts that it grades clearly."""
+        graded = [(level, sentences(text.split("\n"))) for level, text in anchors if text]
+        ranker = cls.fit_graded(graded)
+        for _ in range(rounds if texts else 0):
+            more = []
+            for parts in texts:
+                if len(parts) >= 3:
+                    level, n = Counter(ranker.level_of(parts).tolist()).most_common(1)[0]
+                    if n >= AGREED * len(parts):
+                        more.append((level, parts))
+            ranker = cls.fit_graded(graded + more, left_out=False)
+        return ranker
 
     def level_of(self, parts: list[list[str]]) -> np.ndarray:
         """Level of each sentence."""
@@ -201,10 +246,46 @@ class Ranker:
         return known[np.abs(fine[:, None] - known[None, :]).argmin(1)]
 
 
-def train(anchors: DataFrame) -> Ranker:
-    """Fit on the graded texts (level, text), a table that doesn't grow."""
+def english_sentences(texts: list[str], languages: WordModel, lines: LineModel) -> list[list[list[str]]]:
+    """Sentences of the prose lines of those texts that are in English only."""
+    if not texts:
+        return []
+    found, parts = described(pa.array(texts, pa.large_string()), [["en"]] * len(texts), languages, lines)
+    return [p for langs, p in zip(found["languages"], parts, strict=True) if langs == ["en"]]
+
+
+def train(anchors: DataFrame, sample: list[tuple[str, str, list[str]]] = (), languages: WordModel | None = None, lines: LineModel | None = None) -> Ranker:
+    """Fit on the graded texts (level, text), a table that doesn't grow, and on sampled texts (``language_id.sampled``) labelled English."""
     rows = small_rows(anchors.filter("level is not null and text is not null").select("level", "text"), "anchors", MAX_ANCHORS)
-    return Ranker.fit([(int(r[0]), r[1]) for r in sorted(rows)])
+    texts, chars = [], 0
+    for _, text, langs in sample:
+        if langs == ["en"] and len(texts) < SAMPLE_TEXTS and chars + len(text) <= SAMPLE_CHARS:
+            texts.append(text)
+            chars += len(text)
+    return Ranker.fit([(int(r[0]), r[1]) for r in sorted(rows)], english_sentences(texts, languages, lines) if languages else [])
+
+
+def described(texts: pa.Array, declared: list[list[str]], model: WordModel, chain: LineModel) -> tuple[dict[str, list], list[list[list[str]]]]:
+    """Languages, kind and number of letter words of each text, and the sentences of its prose lines."""
+    n = len(texts)
+    (item, chosen, _, count, _), letters = classify(model, texts, np.array([label_evidence(x) for x in declared]))
+    langs: list[set] = [set() for _ in range(n)]
+    for i, c, m in zip(item.tolist(), chosen.tolist(), count.tolist(), strict=True):
+        if m >= MIN_RUN and c < len(LANGUAGES):
+            langs[i].add(LANGUAGES[c])
+    rows, owner, _ = split_lines(texts)
+    kinds: list[str | None] = [None] * n
+    prose: list[list[str]] = [[] for _ in range(n)]
+    if len(rows):
+        stats, raw = statistics(rows, owner)
+        path = chain.path(stats, owner, n)
+        held = shares(path, owner, raw["chars"], n).argmax(1)
+        for i in np.unique(owner).tolist():
+            kinds[i] = KINDS[held[i]]
+        kept = path == 0
+        for i, line in zip(owner[kept].tolist(), rows.filter(pa.array(kept)).to_pylist(), strict=True):
+            prose[i].append(line)
+    return {"languages": [sorted(x) for x in langs], "kind": kinds, "letters": letters}, [sentences(x) for x in prose]
 
 
 RESULT = "item_id long, languages array<string>, kind string, n_letter_words long, n_sentences int, level int, level_share double"
@@ -223,25 +304,7 @@ def levels(items: DataFrame, languages: WordModel, lines: LineModel, ranker: Ran
         model, chain, ranker = shared.value
         for batch in bounded(batches):
             ids, texts, declared = (batch.column(k) for k in range(3))
-            n = len(ids)
-            (item, chosen, _, count, _), letters = classify(model, texts, np.array([label_evidence(x) for x in declared.to_pylist()]))
-            langs: list[set] = [set() for _ in range(n)]
-            for i, c, m in zip(item.tolist(), chosen.tolist(), count.tolist(), strict=True):
-                if m >= MIN_RUN and c < len(LANGUAGES):
-                    langs[i].add(LANGUAGES[c])
-            rows, owner, _ = split_lines(texts)
-            kinds: list[str | None] = [None] * n
-            prose: list[list[str]] = [[] for _ in range(n)]
-            if len(rows):
-                stats, raw = statistics(rows, owner)
-                path = chain.path(stats, owner, n)
-                held = shares(path, owner, raw["chars"], n).argmax(1)
-                for i in np.unique(owner).tolist():
-                    kinds[i] = KINDS[held[i]]
-                for i, k, line in zip(owner.tolist(), path.tolist(), rows.to_pylist(), strict=True):
-                    if k == 0:
-                        prose[i].append(line)
-            parts = [sentences(x, ranker.word_level) for x in prose]
+            seen, parts = described(texts, declared.to_pylist(), model, chain)
             sizes = np.array([len(p) for p in parts])
             flat = [ws for p in parts for ws in p]
             found = ranker.level_of(flat) if flat else np.zeros(0, "int64")
@@ -258,7 +321,7 @@ def levels(items: DataFrame, languages: WordModel, lines: LineModel, ranker: Ran
                 level.append(best)
                 share.append(tally[best] / m)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([sorted(x) for x in langs], pa.list_(pa.string())), pa.array(kinds, pa.string()), pa.array(letters), pa.array(sizes.astype("int32")), pa.array(level, pa.int32()), pa.array(share, pa.float64())],
+                [ids, pa.array(seen["languages"], pa.list_(pa.string())), pa.array(seen["kind"], pa.string()), pa.array(seen["letters"]), pa.array(sizes.astype("int32")), pa.array(level, pa.int32()), pa.array(share, pa.float64())],
                 ["item_id", "languages", "kind", "n_letter_words", "n_sentences", "level", "level_share"],
             )
 

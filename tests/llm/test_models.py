@@ -137,3 +137,56 @@ def test_reading_levels(spark, languages):
 def test_words_are_cut_at_blanks_only():
     codes, words, lengths = language_id.words_of(pa.array(["a\tb\nc", None, "x y"]))
     assert lengths.tolist() == [3, 1, 1] and [words[c] for c in codes] == ["a", "b", "c", "", "x y"]
+
+
+def test_wrong_labels_of_long_texts_take_no_class():
+    """A kind of English text of its own words, a few long ones of them labelled as a rare language, must stay English."""
+    r = random.Random(9)
+    rare = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(5)) for _ in range(40)]
+    learned = lambda n: " ".join(r.choice(rare) if r.random() < 0.75 else r.choice(["the", "of", "and", "to", "this"]) for _ in range(n))
+    sample = [(text(r, "en", 60), ["en"]) for _ in range(200)] + [("\n".join(learned(9) for _ in range(8)), ["en"]) for _ in range(60)]
+    sample += [(text(r, "de", 40), ["de"]) for _ in range(4)] + [("\n".join(learned(9) for _ in range(200)), ["de"]) for _ in range(2)]
+    model = language_id.fit(sample)
+    prior = np.array([language_id.label_evidence(["en"])] * 20)
+    (item, chosen, _, _, _), _ = language_id.classify(model, pa.array([learned(80) for _ in range(20)]), prior)
+    assert sorted(item.tolist()) == list(range(20)) and {language_id.CLASSES[k] for k in chosen.tolist()} == {"en"}
+
+
+def test_words_unseen_in_training(languages):
+    """Unknown words between known ones don't change the language, and a word of any length is read whole."""
+    r = random.Random(10)
+    for lang in WORDS:
+        words = text(r, lang, 60).split()
+        for k in range(3, 60, 4):
+            words[k] = "".join(r.choice("bdklmnrst") + r.choice("aeio") for _ in range(4))
+        words[5] = "ab" * 50_000
+        found = language_id.classify(languages, pa.array([" ".join(words)]), np.array([language_id.label_evidence([])]))[0]
+        assert {language_id.CLASSES[k] for k, n in zip(found[1], found[3], strict=True) if n >= language_id.MIN_RUN} == {lang}
+
+
+def test_unseen_hosts_and_the_shuffle_join_of_hosts(spark, languages, monkeypatch):
+    r = random.Random(11)
+    rows = [("x", k, text(r, "fr", 25), "fr" if k % 3 else None, "k", f"host{k % 7}") for k in range(60)] + [("x", 99, text(r, "de", 25), None, None, None)]
+    df = spark.createDataFrame(rows, "src string, item_id long, text string, label string, kind string, host string")
+    by_broadcast = sorted(map(str, language_id.identify(df, languages).collect()))
+    monkeypatch.setattr(language_id, "MAX_HOSTS", 3)
+    assert sorted(map(str, language_id.identify(df, languages).collect())) == by_broadcast and len(by_broadcast) == 61
+
+
+def test_capitals_are_no_sentence_ends():
+    caps = reading_level.sentences(["THE TEMPORARY DEPARTMENT HAS APPROVED THE ANNUAL REPORT.", "NOBODY SAW THE MIRROR."])
+    assert [len(x) for x in caps] == [8, 4]
+    assert [len(x) for x in reading_level.sentences(["The big cat ran to me The dog sat on our mat"])] == [6, 6]
+
+
+def test_ranker_grows_on_texts_of_other_words():
+    grown = [reading_level.sentences([t]) for t in ["The kid sat in my bus. The pig dug in the mud. A fox hid in a den."] * 3]
+    assert reading_level.Ranker.fit(ANCHORS, grown).word_level.keys() > reading_level.Ranker.fit(ANCHORS).word_level.keys()
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    items = spark.range(3000).selectExpr("'a' as src", "id as item_id", "repeat('word ', 10) as text", "array('en') as declared")
+    n = len(language_id.sampled(items, 500))
+    assert 400 < n < 600 and len(language_id.sampled(items.limit(0), 500)) == 0
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 1000)
+    assert len(language_id.sampled(items, 500)) == 20
