@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,15 +36,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset, which only a local session may use."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="pageloom-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Cut the lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pageloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a compressed table in the shared checkpoint folder; a plain checkpoint where that isn't set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return checkpoint(df)
+    path = os.path.join(folder, f"table-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one key that one task joins; a key with more on the right is split there, and its left rows meet every part.
+SPLIT_ROWS = 50_000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, salt: str, rows: int = SPLIT_ROWS) -> DataFrame:
+    """Inner join on ``key`` where hot keys are split by the hash of the right side's column ``salt``; other keys stay whole."""
+    hot = right.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    cut = right.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(salt), parts).cast("int")).drop("_parts")
+    many = left.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return many.join(cut, [key, "_part"]).drop("_part")
+
+
 def small_rows(df: DataFrame, what: str, limit: int = MAX_SMALL_ROWS) -> list:
     """Rows of a table of bounded size; raises when it is larger than ``limit``."""
     rows = df.take(limit + 1)
@@ -159,15 +193,17 @@ class Rows:
 
 #: Characters of text that a model looks at together; a longer single text is looked at alone.
 BATCH_CHARS = 8_000_000
+#: Rows of a batch; ``shingles`` packs a row's place in its batch into 16 bits.
+BATCH_ROWS = 32_768
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded text, so that long texts don't meet in memory by the thousand."""
+    """The same rows in batches of bounded text, so that long texts don't meet in memory by the thousand, and of bounded length."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy(zero_copy_only=False).astype("int64"))
         start = 0
         while start < len(batch):
-            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, side="right")))
+            stop = max(start + 1, min(start + BATCH_ROWS, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

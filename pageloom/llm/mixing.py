@@ -74,7 +74,6 @@ def plan(documents: DataFrame, recipe: DataFrame) -> list[dict]:
         total = sum(x["n_tokens"] for x in own)
         row["wanted_share"] = row["weight"] / weights if weights else 0.0
         row["wanted_tokens"] = row["wanted_share"] * total
-        row["short"] = row["n_tokens"] * row["max_repeats"] < row["wanted_tokens"]
         row["copies"] = min(row["wanted_tokens"] / row["n_tokens"], float(row["max_repeats"])) if row["n_tokens"] else 0.0
     return out
 
@@ -99,7 +98,7 @@ def mix(documents: DataFrame, recipe: DataFrame, seed: int = 0, group_rows: int
     """documents(item_id, source, n_tokens), recipe(mix_name, source, weight, max_repeats) -> (chosen, report).
 
     chosen: mix_name, source, item_id, n_tokens, copies (0 rows are left out). report: one row per recipe row with wanted and
-    reached shares and ``short`` where max_repeats keeps the source below its share. Sources compare trimmed and in lower case;
+    reached shares and ``short`` where the sample holds max_repeats copies of all the source has and still less than its share. Sources compare trimmed and in lower case;
     documents without source or size are in no mix. A null or negative weight is 0, a null max_repeats 1; a recipe source
     without documents is short if it has a weight and its mix has tokens. Repeated ids count as documents of their own. Empty
     tables give empty results.
@@ -122,10 +121,12 @@ def mix(documents: DataFrame, recipe: DataFrame, seed: int = 0, group_rows: int
     chosen = state.withColumn("copies", F.col("whole") + F.round("p").cast("long")).filter("copies > 0").select("mix_name", "source", "item_id", "n_tokens", "copies")
     reached = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"), F.sum("copies").alias("reached_docs"))
     base = spark.createDataFrame(
-        [(r["mix_name"], r["named"], r["source"], r["n_docs"], int(r["n_tokens"]), float(r["wanted_share"]), float(r["wanted_tokens"]), bool(r["short"])) for r in planned],
-        "mix_name string, named string, source string, n_docs long, n_tokens long, wanted_share double, wanted_tokens double, short boolean",
+        [(r["mix_name"], r["named"], r["source"], r["n_docs"], int(r["n_tokens"]), r["max_repeats"], float(r["wanted_share"]), float(r["wanted_tokens"])) for r in planned],
+        "mix_name string, named string, source string, n_docs long, n_tokens long, max_repeats int, wanted_share double, wanted_tokens double",
     )
     report = base.join(reached, ["mix_name", "source"], "left").na.fill(0, ["reached_tokens", "reached_docs"])
+    spent = F.col("reached_tokens") >= F.col("n_tokens") * F.col("max_repeats")
+    report = report.withColumn("short", spent & (F.col("reached_tokens") < F.col("wanted_tokens"))).drop("max_repeats")
     totals = reached.groupBy("mix_name").agg(F.sum("reached_tokens").alias("mix_tokens"))
     report = report.join(totals, "mix_name", "left").withColumn("reached_share", F.coalesce(F.expr("reached_tokens / nullif(mix_tokens, 0)"), F.lit(0.0)))
     return chosen, report.drop("source").withColumnRenamed("named", "source")

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
-from .shingles import BITMAP, MIN_DISTINCT, MIN_WORDS, classes, may_match, prefixes, sketch, verify, written
+from .common import bounded, split_join, written
+from .shingles import BITMAP, MIN_DISTINCT, MIN_WORDS, classes, may_match, prefixes, sketch, verify
 
 SIGNATURES = "sig long, id long, n int, " + ", ".join(f"{x} long" for x in BITMAP)
 
@@ -69,5 +69,5 @@ def expanded(links: DataFrame, members: DataFrame, comparable: DataFrame) -> Dat
     x, y = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     between = links.select("a", "b").join(x, "a").join(y, "b").select("x", "y")
     copies = members.join(comparable, "rep").select("id", "rep")
-    within = copies.select(F.col("id").alias("x"), "rep").join(copies.select(F.col("id").alias("y"), "rep"), "rep").filter("x < y").select("x", "y")
+    within = split_join(copies.select(F.col("id").alias("x"), "rep"), copies.select(F.col("id").alias("y"), "rep"), "rep", "y").filter("x < y").select("x", "y")
     return between.unionByName(within).select(F.least("x", "y").alias("rec_id_a"), F.greatest("x", "y").alias("rec_id_b"))

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, trimmed
-from .shingles import BITMAP, content_key, may_match, needed, prefixes, sketch, verify, written
+from .common import bounded, split_join, trimmed, written
+from .shingles import BITMAP, content_key, may_match, needed, prefixes, sketch, verify
 
 POSTINGS = "sig long, id long, n int, place int, " + ", ".join(f"{x} long" for x in BITMAP)
 #: Log2 of the bits of the filter of indexed shingles that training tasks look into before they shuffle a posting; fixed.
@@ -116,7 +116,7 @@ def image_pairs(records: DataFrame) -> DataFrame:
     named = records.select(F.col("id").cast("long").alias("id"), image_name(F.col("image")).alias("name"), side(F.col("split")).alias("side")).filter("id is not null and name is not null")
     e = named.filter("side = 'eval'").select(F.col("id").alias("eval_id"), "name")
     t = named.filter("side = 'train'").select(F.col("id").alias("train_id"), "name")
-    return e.join(t, "name").select("eval_id", "train_id")
+    return split_join(e, t, "name", "train_id").select("eval_id", "train_id")
 
 
 def report(records: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:

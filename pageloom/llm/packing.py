@@ -1,8 +1,8 @@
 """Problem 6: best-fit packing of documents, sized in tokens, into containers of fixed capacity.
 
-Bulk-synchronous best-fit on the run-length encoded order of sizes. A size is an integer of at most the capacity, so the range-
-sorted order of documents is one row (size, count) per size and the open gaps are one run of containers per gap: both are bounded
-by the capacity, not by the corpus. A sweep takes the largest size left, finds its successor among the gaps (the smallest gap that
+Bulk-synchronous best-fit on the run-length encoded order of sizes. Sizes are integers, so the range-sorted order of documents is one
+row (size, count) per size: at most the capacity, and at most the root of twice the corpus's tokens (3 million rows for 5e12). The
+open gaps are runs of containers likewise. A sweep takes the largest size left, finds its successor among the gaps (the smallest gap that
 holds it), matches as many documents to containers as both have, resolves who gets which container by rank, updates the gaps and
 repeats; what finds no gap opens containers. Ranks and assignments are computed for all documents by distributed aggregation.
 """
@@ -17,10 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranks within one size are made in this many independent parts, so that a size which a third of all rows share isn't one task.
-RANK_PARTS = 64
-#: Histograms are brought to the driver: at most capacity x RANK_PARTS rows.
-MAX_CAPACITY = 131_072
+#: Rows that one task ranks: a size that more documents share is ranked in parts of about this many.
+RANK_ROWS = 100_000
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -86,38 +84,36 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     Items of null or no size take no room: their container_no is null. Repeated ids are packed as often as they occur. Ties of
     size go by id. An empty table gives an empty result. Items larger than the capacity, and only they, have several pieces.
     """
-    if not 1 <= capacity <= MAX_CAPACITY:
-        raise ValueError(f"capacity must be from 1 to {MAX_CAPACITY}")
+    if capacity < 1:
+        raise ValueError("capacity must be at least 1")
     spark = items.sparkSession
     sized = items.select("item_id", F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
-    cut = pieces(sized, capacity).withColumn("part", F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(RANK_PARTS)).cast("int"))
-    counts = cut.filter("piece_tokens > 0").groupBy("piece_tokens", "part").count().collect()
-    histogram: dict[int, int] = defaultdict(int)
-    starts: dict[tuple[int, int], int] = {}
-    for size, part, n in sorted(counts):
-        starts[size, part] = histogram[size]
-        histogram[size] += n
+    cut = pieces(sized, capacity)
+    histogram = {r[0]: r[1] for r in cut.filter("piece_tokens > 0").groupBy("piece_tokens").count().toLocalIterator()}
+    hot = spark.createDataFrame([(s, -(-n // RANK_ROWS)) for s, n in histogram.items() if n > RANK_ROWS], "piece_tokens long, parts long")
+    cut = cut.join(hot, "piece_tokens", "left").withColumn("part", F.pmod(F.xxhash64("item_id", "piece_no"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    before = Window.partitionBy("piece_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.join(hot, "piece_tokens", "left_semi").groupBy("piece_tokens", "part").count().select("piece_tokens", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for size, rank, _, first in best_fit(histogram, capacity)[0]:
         by_size[size].append((rank, first))
-    shared = spark.sparkContext.broadcast((starts, {s: tuple(zip(*sorted(runs), strict=True)) for s, runs in by_size.items()}))
+    shared = spark.sparkContext.broadcast({s: tuple(np.array(x, dtype="int64") for x in zip(*sorted(runs), strict=True)) for s, runs in by_size.items()})
 
     @F.pandas_udf("long")
-    def container(size: pd.Series, part: pd.Series, row: pd.Series) -> pd.Series:
-        starts, runs = shared.value
-        out = np.full(len(size), -1, dtype="int64")
-        sizes, parts = size.to_numpy("int64"), part.to_numpy("int64")
-        rank = row.to_numpy("int64") - 1 + np.array([starts.get(k, 0) for k in zip(sizes.tolist(), parts.tolist(), strict=True)], dtype="int64")
-        for s in np.unique(sizes):
-            if s in runs:
-                at, (ranks, firsts) = np.flatnonzero(sizes == s), (np.asarray(x, dtype="int64") for x in runs[s])
-                k = np.searchsorted(ranks, rank[at], side="right") - 1
-                out[at] = firsts[k] + rank[at] - ranks[k]
+    def container(size: pd.Series, rank: pd.Series) -> pd.Series:
+        runs, sizes, ranks = shared.value, size.to_numpy("int64"), rank.to_numpy("int64")
+        out, order = np.full(len(size), -1, dtype="int64"), np.argsort(sizes, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            found = runs.get(int(sizes[at[0]])) if len(at) else None
+            if found:
+                k = np.searchsorted(found[0], ranks[at], side="right") - 1
+                out[at] = found[1][k] + ranks[at] - found[0][k]
         return pd.Series(out)
 
     within = Window.partitionBy("piece_tokens", "part").orderBy("item_id", "piece_no")
-    placed = cut.withColumn("container_no", container("piece_tokens", "part", F.row_number().over(within)))
-    return placed.withColumn("container_no", F.expr("nullif(container_no, -1)")).drop("part")
+    ranked = cut.withColumn("row", F.row_number().over(within) - 1).join(offsets, ["piece_tokens", "part"], "left")
+    placed = ranked.withColumn("container_no", container("piece_tokens", F.col("row") + F.coalesce("start", F.lit(0))))
+    return placed.select("item_id", "piece_no", "n_pieces", "piece_tokens", F.expr("nullif(container_no, -1)").alias("container_no"))
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

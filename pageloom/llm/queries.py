@@ -19,19 +19,26 @@ def sized_documents(spark: SparkSession, d: str) -> DataFrame:
     return checkpoint(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", size(F.coalesce("text", F.lit(""))).alias("n_tokens")))
 
 
-def counted_records(spark: SparkSession, d: str) -> DataFrame:
-    """Manifest records that count, with slice and tokens: encoded where they lie, then joined on rec_id by numbers only."""
-    records, families = token_budget.sliced_records(table(spark, d, "manifest"), table(spark, d, "samples"))
-    tokenizer = load_tokenizer(table(spark, d, "tokenizer_vocab"))
-    return token_budget.count_tokens(records, tokenizer).join(families, "rec_id")
+def token_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The token cube of manifest after two updates: with the samples that had arrived by the middle of their time, then with all.
+
+    Late samples bring records in, and give others another family: the second update works by signed deltas.
+    """
+    manifest, samples, tokenizer = table(spark, d, "manifest"), table(spark, d, "samples"), load_tokenizer(table(spark, d, "tokenizer_vocab"))
+    first, last = samples.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    budget = token_budget.Budget.empty(spark)
+    if first is not None:
+        arrived = samples.filter(F.col("arrived_at") <= F.lit(first + (last - first) / 2))
+        budget = budget.updated(*token_budget.sliced_records(manifest, arrived), tokenizer)
+    return budget.updated(*token_budget.sliced_records(manifest, samples), tokenizer).slices
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return token_budget.short_slices(token_budget.cube(counted_records(spark, d)), table(spark, d, "token_needs"))
+    return token_budget.short_slices(token_slices(spark, d), table(spark, d, "token_needs"))
 
 
 def p2_budget_cube(spark: SparkSession, d: str) -> DataFrame:
-    return token_budget.rollup(token_budget.cube(counted_records(spark, d)))
+    return token_budget.rollup(token_slices(spark, d))
 
 
 def packed_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +49,9 @@ def packed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that the packing had to split; its first piece stands for each."""
-    return packed_documents(spark, d).filter("n_pieces > 1 and piece_no = 0").select("container", F.col("item_id").alias("doc_id"))
+    """Documents that the packing put into more than one container."""
+    placed = packed_documents(spark, d).groupBy("container", "item_id").agg(F.min("container_no").alias("first"), F.max("container_no").alias("last"))
+    return placed.filter("first < last").select("container", F.col("item_id").alias("doc_id"))
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Word shingles of texts, their document frequencies over a whole corpus in a sketch of fixed size, and exact likeness.
+"""Word shingles of texts, their document frequencies over a whole corpus in a sketch of bounded size, and exact likeness.
 
 The likeness of two texts is the number of distinct runs of three consecutive words they share over that number in the one that
 has more, in lower case with every run of other signs than letters and digits read as one blank. Shingles are 64-bit hashes.
@@ -6,23 +6,22 @@ has more, in lower case with every run of other signs than letters and digits re
 
 from __future__ import annotations
 
-import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpoint
+from .common import BATCH_CHARS, bounded
 
 WIDTH = 3
 MIN_WORDS, MIN_DISTINCT = 15, 10
-#: Log2 of the sketch's buckets, and of the buckets in one shuffled slice of it. Both are fixed whatever the corpus.
-SKETCH_BITS, SLICE_BITS = 22, 16
+#: Log2 of the least and the most buckets of the sketch, which has about one per word of the corpus between them, of the buckets in one
+#: shuffled slice of it, and characters a word. Beyond the most, rare shingles share buckets: more of them are looked at, none is lost.
+LEAST_BITS, MOST_BITS, SLICE_BITS, WORD_CHARS = 20, 26, 16, 6
 K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 BITMAP = [f"b{k}" for k in range(8)]
 #: Sets from this size on have 512 bits, smaller ones 256: the other four words are 0 then and take no room in a shuffle.
@@ -90,7 +89,9 @@ class Shingles:
 
 
 def shingle(texts: pa.Array) -> Shingles:
-    """Texts of fewer than MIN_WORDS words or MIN_DISTINCT distinct ones have none. Up to 65,535 texts at once."""
+    """Texts of fewer than MIN_WORDS words or MIN_DISTINCT distinct ones have none. Up to 65,536 texts at once."""
+    if len(texts) > 1 << 16:
+        raise ValueError("more texts than 16 bits can number")
     words, lengths = word_hashes(texts)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     pairs = (owner.astype("uint64") << np.uint64(48)) | (words >> np.uint64(16))
@@ -112,8 +113,9 @@ def distinct_by(s: Shingles, level: np.ndarray) -> np.ndarray:
     return order[np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])]] if len(order) else order
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype("int64")
+def bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each hash; the number of buckets is a power of two."""
+    return (h >> np.uint64(65 - buckets.bit_length())).astype("int64")
 
 
 def to_level(count: np.ndarray) -> np.ndarray:
@@ -122,19 +124,19 @@ def to_level(count: np.ndarray) -> np.ndarray:
     return np.where(c < 64, c, np.minimum(255, 64 + np.floor(8 * np.log2(np.maximum(c, 64) / 64)))).astype("uint8")
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = np.zeros(1 << SKETCH_BITS, "int32"), False
+def _sliced(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    total, seen = np.zeros(1 << bits, "int32"), False
     for batch in bounded(batches):
         s, seen = shingle(batch.column(0)), True
         one = (s.text.astype("uint64") << np.uint64(48)) | (s.hash >> np.uint64(16))
         one.sort()
         one = one[np.r_[True, one[1:] != one[:-1]]] if len(one) else one
-        at = ((one << np.uint64(16)) >> np.uint64(64 - SKETCH_BITS)).astype("int64")
+        at = bucket(one << np.uint64(16), 1 << bits)
         at.sort()
         begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
         total[at[begin]] += np.diff(np.r_[begin, len(at)]).astype("int32")
     if seen:
-        parts = [zlib.compress(np.minimum(total[k : k + (1 << SLICE_BITS)], 65_535).astype("uint16").tobytes(), 1) for k in range(0, 1 << SKETCH_BITS, 1 << SLICE_BITS)]
+        parts = [zlib.compress(np.minimum(total[k : k + (1 << SLICE_BITS)], 65_535).astype("uint16").tobytes(), 1) for k in range(0, 1 << bits, 1 << SLICE_BITS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
 
@@ -149,16 +151,18 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(texts: DataFrame) -> np.ndarray:
-    """texts(text) -> by hash bucket the level of the shingles' document frequency over all of them, 4 MB for any corpus.
+    """texts(text) -> by hash bucket the level of the shingles' document frequency over all of them, at most 64 MB.
 
-    Each task sends its counts in slices; a slice is summed as a stream. Buckets of several shingles hold their sum, so a level is
-    never too low, and level 1 means that no other text has the shingle.
+    Each task sends its counts in slices; a slice is summed as a stream, slices in parallel. Buckets of several shingles hold their
+    sum, so a level is never too low, and level 1 means that no other text has the shingle.
     """
-    n = 1 << (SKETCH_BITS - SLICE_BITS)
-    parts = texts.select("text").mapInArrow(_sliced, "part int, counts binary")
-    rows = parts.repartition(min(n, 12), "part").mapInArrow(_summed, "part int, levels binary").collect()
-    level = np.zeros(1 << SKETCH_BITS, dtype="uint8")
-    for part, levels in rows:
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(max((chars // WORD_CHARS).bit_length(), LEAST_BITS), MOST_BITS)
+    n = 1 << (bits - SLICE_BITS)
+    parts = texts.select("text").mapInArrow(lambda batches: _sliced(batches, bits), "part int, counts binary")
+    tasks = min(n, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    level = np.zeros(1 << bits, dtype="uint8")
+    for part, levels in parts.repartition(tasks, "part").mapInArrow(_summed, "part int, levels binary").toLocalIterator():
         level[part << SLICE_BITS : (part + 1) << SLICE_BITS] = np.frombuffer(levels, dtype="uint8")
     return level
 
@@ -201,7 +205,7 @@ def prefixes(texts: pa.Array, level: np.ndarray) -> tuple[np.ndarray, ...]:
     Ordered by (level, hash), the same for all texts. Shingles that no other text has are left out.
     """
     s = shingle(texts)
-    levels = level[bucket(s.hash)]
+    levels = level[bucket(s.hash, len(level))]
     rows = distinct_by(s, levels)
     text, h = s.text[rows], s.hash[rows]
     n = np.bincount(text, minlength=s.n_texts).astype("int64")
@@ -211,9 +215,8 @@ def prefixes(texts: pa.Array, level: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, len(batch), 30_000):
-            part = batch.slice(start, 30_000)
+    for whole in batches:
+        for part in (x for half in bounded([whole], "ta", BATCH_CHARS // 2) for x in bounded([half], "tb", BATCH_CHARS // 2)):
             n = len(part)
             s = shingle(pa.concat_arrays([part.column(2), part.column(3)]))
             rows = distinct_by(s, np.zeros(len(s.hash), "uint8"))
@@ -239,17 +242,6 @@ def content_key() -> list[Column]:
     return [F.xxhash64(plain).alias("h1"), F.xxhash64(plain, F.lit(1)).alias("h2")]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a compressed table in the shared checkpoint folder; a plain checkpoint where that isn't set."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return checkpoint(df)
-    path = os.path.join(folder, f"table-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """records(id, text) -> (members, representatives): id, rep for every record; id, text of the smallest id of each class.
 

@@ -1,18 +1,19 @@
 """Problem 2: token totals per source, language and domain, kept up to date by signed deltas.
 
-The state is a count table keyed by content hash and tokenizer hash. A text is encoded only when the table has no row for its
-content, so a re-run over unchanged records encodes nothing. Cubes are updated by adding the contributions of new records and
-subtracting those of removed or changed ones.
+The state is a count table keyed by content hash and tokenizer hash, the slice and content of each record, and the cube. An update
+encodes each content that the count table lacks once, so one over unchanged records encodes nothing; it adds to the cube what came,
+subtracts what left, and does both for what changed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GreedyTokenizer, label_languages, token_size, trimmed
+from .common import GreedyTokenizer, label_languages, token_size, trimmed, written
 
 SLICE = ["source", "lang", "domain"]
 
@@ -30,9 +31,8 @@ def hashed(records: DataFrame) -> DataFrame:
 def count_tokens(records: DataFrame, tokenizer: GreedyTokenizer, counts: DataFrame | None = None) -> DataFrame:
     """records(..., text) -> the same rows without text, with h1, h2, n_tokens.
 
-    ``counts`` is the count table of earlier runs; contents found there under this tokenizer aren't encoded again. The table is
-    joined on hashes only: texts of unseen contents stay in their partition. Null and empty texts have 0 tokens; an empty table
-    gives an empty result; repeated rows are kept.
+    ``counts`` is the count table of earlier runs; contents found there under this tokenizer aren't encoded again. Null and empty
+    texts have 0 tokens; an empty table gives an empty result; repeated rows are kept.
     """
     rows, size = hashed(records), token_size(tokenizer, records.sparkSession)
     if counts is None:
@@ -79,8 +79,42 @@ def apply_deltas(slices: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy(*SLICE).agg(F.sum("n_records").alias("n_records"), F.sum("n_tokens").alias("n_tokens")).filter("n_records > 0")
 
 
-def sliced_records(manifest: DataFrame, samples: DataFrame) -> DataFrame:
-    """rec_id, text, source, lang, domain of each manifest record with a sourced sample, once.
+@dataclass
+class Budget:
+    """The kept state. counts: h1, h2, tokenizer, n_tokens; records: rec_id, h1, h2, slice, n_tokens; slices: the cube."""
+
+    counts: DataFrame
+    records: DataFrame
+    slices: DataFrame
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> Budget:
+        slices = ", ".join(f"{c} string" for c in SLICE)
+        return cls(
+            spark.createDataFrame([], "h1 long, h2 long, tokenizer string, n_tokens long"),
+            spark.createDataFrame([], f"rec_id long, h1 long, h2 long, {slices}, n_tokens long"),
+            spark.createDataFrame([], f"{slices}, n_records long, n_tokens long"),
+        )
+
+    def updated(self, records: DataFrame, families: DataFrame, tokenizer: GreedyTokenizer) -> Budget:
+        """The state for these records (rec_id unique, text, lang, domain) and their families (rec_id, source); written as tables.
+
+        Only hashes and slices of all records are compared with the state; texts are read for contents it lacks, one record of each.
+        A record that isn't among them any more, or has lost its source, is subtracted.
+        """
+        name = tokenizer_hash(tokenizer)
+        keyed = hashed(records).select(F.col("rec_id").cast("long").alias("rec_id"), "h1", "h2", "lang", "domain").join(families, "rec_id").select("rec_id", "h1", "h2", *SLICE)
+        known = self.counts.filter(F.col("tokenizer") == name).select("h1", "h2")
+        unseen = keyed.select("rec_id", "h1", "h2").join(known, ["h1", "h2"], "left_anti").groupBy("h1", "h2").agg(F.min("rec_id").alias("rec_id"))
+        size = token_size(tokenizer, records.sparkSession)
+        new = records.select(F.col("rec_id").cast("long").alias("rec_id"), "text").join(unseen, "rec_id").select("h1", "h2", F.lit(name).alias("tokenizer"), size(F.coalesce("text", F.lit(""))).alias("n_tokens"))
+        counts = self.counts.unionByName(written(new))
+        held = written(keyed.join(counts.filter(F.col("tokenizer") == name).select("h1", "h2", "n_tokens"), ["h1", "h2"]).select(*self.records.columns))
+        return Budget(counts, held, written(apply_deltas(self.slices, deltas(self.records, held, "rec_id"))))
+
+
+def sliced_records(manifest: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, families): rec_id, text, lang, domain of each manifest record; rec_id, source of those with a sourced sample.
 
     The source family is the leading letters and underscores of the trimmed source in lower case; of several families of one
     record the first in order counts. Blank sources are none. Null domains are ``unknown``, labels without language ``und``.

@@ -138,3 +138,37 @@ def test_mix(spark):
     caps = {"a": 2, "b": 1, "tiny": 3}
     assert all(r["copies"] <= caps[r["source"]] for r in chosen.filter("mix_name = 'm'").collect())
     assert mixing.mix(df.limit(0), recipe)[0].count() == 0 and mixing.mix(df, recipe.limit(0))[1].count() == 0
+
+
+def test_budget_state_equals_a_fresh_run(spark):
+    tok, r = GreedyTokenizer(PIECES), random.Random(8)
+    schema = "rec_id long, text string, lang string, domain string"
+    make = lambda ids: [(k, r.choice(["a b", "abc", None, "", "a b abc"]), r.choice(["en", "fr"]), r.choice(["x", "y"])) for k in ids]
+    first, second = make(range(40)), make(range(20, 60))
+    one, two = spark.createDataFrame(first, schema), spark.createDataFrame(second, schema)
+    fam = spark.createDataFrame([(k, "s" if k % 2 else "t") for k in range(60) if k % 5], "rec_id long, source string")
+    rows = lambda df: sorted(map(tuple, df.select("source", "lang", "domain", "n_records", "n_tokens").collect()))
+    a = token_budget.Budget.empty(spark).updated(one, fam, tok)
+    b = a.updated(two, fam.filter("rec_id <> 41"), tok)
+    for state, data, families in ((a, one, fam), (b, two, fam.filter("rec_id <> 41"))):
+        assert rows(state.slices) == rows(token_budget.cube(token_budget.count_tokens(data, tok).join(families, "rec_id")))
+    assert a.counts.count() == b.counts.count() == len({x[1] or "" for x in first})  # each content is encoded once, null as empty
+    assert token_budget.Budget.empty(spark).updated(one.limit(0), fam, tok).slices.count() == 0
+    assert b.updated(two.limit(0), fam, tok).slices.count() == 0
+
+
+def test_hot_sizes_are_ranked_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(k, 5 if k % 3 else 7) for k in range(600)], "item_id long, n_tokens long")
+    whole = sorted(map(tuple, packing.pack(df, 12).groupBy("container_no").agg(F.sum("piece_tokens").alias("n"), F.count("*").alias("k")).collect()))
+    monkeypatch.setattr(packing, "RANK_ROWS", 50)
+    parts = packing.pack(df, 12)
+    assert sorted(map(tuple, parts.groupBy("container_no").agg(F.sum("piece_tokens").alias("n"), F.count("*").alias("k")).collect())) == whole
+    assert parts.count() == 600 and packing.pack(df, 1_000_000).select("container_no").distinct().count() == 1
+
+
+def test_split_join(spark):
+    from pageloom.llm.common import split_join
+
+    a = spark.createDataFrame([(k, k % 3) for k in range(30)], "x long, k long")
+    b = spark.createDataFrame([(k, 1 if k % 2 else k % 5) for k in range(40)], "y long, k long")
+    assert sorted(map(tuple, split_join(a, b, "k", "y", rows=4).select("x", "y", "k").collect())) == sorted(map(tuple, a.join(b, "k").select("x", "y", "k").collect()))
