@@ -27,8 +27,8 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def events(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Events of a training log as JSON lines."""
-    lines = annotations.text_lines(spark, a.log).select(F.col("id").alias("log"), F.col("line_no").cast("long").alias("seq"), F.lit(0.0).alias("ts"), F.col("value").alias("line"))
+    """Events of a training log as JSON lines; a line's time is the first found in it, or that of the lines before."""
+    lines = telemetry.timed(annotations.text_lines(spark, a.log).select(F.col("id").alias("log"), F.col("line_no").cast("long").alias("seq"), F.col("value").alias("line")), a.seconds_per_line)
     telemetry.events(lines).orderBy("log", "seq", "sub").write.json(a.out)
     return 0
 
@@ -62,6 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("events", help=events.__doc__)
     p.add_argument("log")
     p.add_argument("out")
+    p.add_argument("--seconds-per-line", type=float, default=0.0, help="time between lines of logs without times")
     p.set_defaults(run=events)
     p = sub.add_parser("audit", help=audit_shards.__doc__)
     p.add_argument("shards")

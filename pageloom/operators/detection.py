@@ -30,6 +30,17 @@ def paged(gt: DataFrame, pred: DataFrame, key: str, order: list[str]) -> DataFra
     return left.join(right, key, "full").select(key, F.coalesce("gt", none).alias("gt"), F.coalesce("pred", none).alias("pred"), F.coalesce("scores", F.expr("cast(array() as array<double>)")).alias("scores"))
 
 
+def overlapping(a: DataFrame, b: DataFrame, page: str, strip: int = 24, left: str = "a", right: str = "b") -> DataFrame:
+    """All pairs of rows of one page whose boxes overlap, with ``inter``: an equi join on the page and the strips a box touches.
+
+    A pair counts in the first strip both touch; the strip's height is about that of a line.
+    """
+    strips = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}.y1") / strip), F.floor(F.col(f"{c}.y2") / strip)))
+    both = a.withColumn("_s", strips(left)).join(b.withColumn("_s", strips(right)), [page, "_s"])
+    first = F.floor(F.greatest(F.col(f"{left}.y1"), F.col(f"{right}.y1")) / strip) == F.col("_s")
+    return both.filter(first).drop("_s").withColumn("inter", g.intersection(F.col(left), F.col(right))).filter("inter > 0")
+
+
 def places(a: Column) -> Column:
     """0 .. size - 1, empty for an empty array."""
     return F.transform(a, lambda _, k: k)

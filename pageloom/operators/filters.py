@@ -9,8 +9,8 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..schema import LINES, MANIFEST_VERSIONS, TASKS
 
-# Split shards by number; languages of the default page set; shard of the locked splits.
-LOCKED_SHARDS = {"0118": "val", "0119": "test"}
+# Base names of the shards of the locked splits; languages of the default page set.
+LOCKED_SHARDS = {"pdfa-eng-train-0118.tar": "val", "pdfa-eng-train-0119.tar": "test"}
 DEFAULT_LANGUAGES = ("en", "en+fr")
 
 
@@ -132,20 +132,16 @@ def same_fields(records: DataFrame, raw: str = "value", order: str = "line_no")
 
 
 def shard_split(path: Column) -> Column:
-    """Split of a shard by the number in its base name."""
-    number = F.regexp_extract(t.basename(path), r"(\d+)\.[^.]+$", 1)
-    out = F.lit("train")
-    for shard, split in LOCKED_SHARDS.items():
-        out = F.when(number == shard, split).otherwise(out)
-    return out
+    """Split of a shard by its base name: that of a locked shard, else train."""
+    table = F.create_map(*[F.lit(x) for kv in LOCKED_SHARDS.items() for x in kv])
+    return F.coalesce(table[t.basename(path)], F.lit("train"))
 
 
 def guard_training(paths: list[str], allowed: tuple[str, ...] = ("train",)) -> None:
     """Stops where a training list names a locked shard."""
     for p in paths:
         base = p.rsplit("/", 1)[-1]
-        number = base.rsplit(".", 1)[0][-4:]
-        split = LOCKED_SHARDS.get(number, "train")
+        split = LOCKED_SHARDS.get(base, "train")
         if split not in allowed:
             raise SystemExit(f"{base} belongs to the locked {split} split")
 

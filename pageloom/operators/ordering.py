@@ -84,13 +84,14 @@ def latest(rows: DataFrame, part: list[str], order: str, value: str) -> DataFram
     return rows.groupBy(*part).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
-def fold(rows: DataFrame, run: str, order: list[str], schema: str, step: Callable[[dict, pd.Series], tuple[dict, dict]], start: Callable[[], dict]) -> DataFrame:
-    """An ordered fold per run: ``step(state, row) -> state, output``. For short histories that no frame can express."""
-
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = start(), []
-        for _, row in pdf.sort_values(order, kind="stable").iterrows():
-            state, made = step(state, row)
+def fold(rows: DataFrame, run: str, order: list[str], schema: str, step: Callable[[object, dict], tuple[object, dict]], start: Callable[[object], object]) -> DataFrame:
+    """An ordered fold per run: ``start(run) -> state``, ``step(state, row) -> state, output``. For histories that no frame can express."""
+
+    def go(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        state, out, names = start(key[0]), [], list(pdf.columns)
+        for values in zip(*(pdf[n].tolist() for n in names), strict=True):
+            state, made = step(state, dict(zip(names, values, strict=True)))
             out.append(made)
         return pd.DataFrame(out)
 

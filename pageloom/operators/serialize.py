@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
+from ..storage import checkpoint
 
 # Special tokens in order of their ids, and the names of the control tokens.
 SPECIAL_TOKENS = ("<task=ocr>", "<task=ocr_layout>", "<task=region_ocr>", "<task=find_it>", "</text>", "</location>", "<find_it>")
@@ -149,17 +150,20 @@ def teacher_forced(rows: DataFrame, width: Column | int) -> DataFrame:
 
 
 def numbered_globally(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds a 0-based global rank by ``order`` without one task seeing all rows: range partitions, counted, offset."""
+    """Adds a 0-based global rank by ``order`` without one task seeing all rows; rows of equal order get ranks in any order.
+
+    Range partitions are sorted and numbered once and kept in the shared folder: planned twice they would be cut at other bounds.
+    Their sizes, one row a partition, then give each partition its offset.
+    """
     spark = rows.sparkSession
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = sorted(ranged.groupBy("_p").count().collect())
+    kept = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()))
+    part = F.shiftright("_i", 33).cast("int")
     offsets, at = [], 0
-    for p, n in counts:
+    for p, n in sorted(kept.groupBy(part).count().collect()):
         offsets.append((p, at))
         at += n
-    table = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "_p int, _o long"))  # one row a partition
-    w = Window.partitionBy("_p").orderBy(*order)
-    return ranged.join(table, "_p").withColumn(name, F.row_number().over(w) - 1 + F.col("_o")).drop("_p", "_o")
+    table = F.broadcast(spark.createDataFrame(offsets, "_p int, _o long"))
+    return kept.withColumn("_p", part).join(table, "_p").withColumn(name, F.col("_i").bitwiseAND((1 << 33) - 1) + F.col("_o")).drop("_p", "_o", "_i")
 
 
 def micro_batches(rows: DataFrame, size: int, order: list[str], lane: list[str] | None = None) -> DataFrame:

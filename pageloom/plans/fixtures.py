@@ -5,7 +5,7 @@ Every non-blank line of every document is a ground-truth line on a canvas of 170
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANVAS_W, CANVAS_H = 1700, 2200
@@ -21,13 +21,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() * 2 < n else df
 
 
+def boxed(text: Column, doc_id: Column) -> Column:
+    """Array of (line_no, text, x1, y1, x2, y2) of a text's lines that aren't blank; null for a null text."""
+
+    def line(raw: Column, k: Column) -> Column:
+        t = F.trim(raw)
+        x1, y1 = F.lit(32) + (doc_id * 7 + k * 13) % 64, F.lit(20) + 24 * k
+        return F.struct(k.alias("line_no"), t.alias("text"), x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 8 * F.length(t)).cast("int").alias("x2"), (y1 + 16 + (doc_id + k) % 9).cast("int").alias("y2"))
+
+    return F.filter(F.transform(F.split(text, "\n"), line), lambda x: x["text"] != "")
+
+
 def gt_lines(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source, line_no, text, x1, y1, x2, y2."""
-    rows = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "source", "line_no", F.trim("raw").alias("text")).filter("text <> ''")
-    x1 = F.lit(32) + (F.col("doc_id") * 7 + F.col("line_no") * 13) % 64
-    y1 = F.lit(20) + 24 * F.col("line_no")
-    return rows.select("doc_id", "source", "line_no", "text", x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 8 * F.length("text")).cast("int").alias("x2"), (y1 + 16 + (F.col("doc_id") + F.col("line_no")) % 9).cast("int").alias("y2"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return rows.select("doc_id", "source", F.explode(boxed(F.col("text"), F.col("doc_id"))).alias("l")).select("doc_id", "source", "l.*")
 
 
 GT = """gt as (
@@ -40,8 +48,7 @@ GT = """gt as (
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """One row per document with a line: page_id, source, img_w, img_h, lines in input order."""
-    lines = gt_lines(spark, d)
-    rows = lines.groupBy("doc_id").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("line_no", "text", "x1", "y1", "x2", "y2"))).alias("r"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", boxed(F.col("text"), F.col("doc_id")).alias("r")).filter("size(r) > 0")
     return rows.select(F.col("doc_id").alias("page_id"), "source", F.lit(CANVAS_W).alias("img_w"), F.lit(CANVAS_H).alias("img_h"), F.transform("r", lambda x: F.struct(x["text"].alias("text"), *[x[k].alias(k) for k in ("x1", "y1", "x2", "y2")])).alias("lines"))
 
 
@@ -62,11 +69,28 @@ PRED = """pred as (
         from (select gt.*, unnest(case when (doc_id * 5 + line_no) % 13 = 0 then [0, 1] else [0] end) as k from gt where (doc_id * 31 + line_no * 17) % 11 <> 0)))"""
 
 
+def plain(text: Column) -> Column:
+    """Signs beyond ASCII as ``?``."""
+    return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
+
+
+def misread(ref: Column, doc_id: Column, line_no: Column) -> Column:
+    """Every third line has its e misread as c."""
+    return F.when((doc_id + line_no) % 3 == 0, F.translate(ref, "e", "c")).otherwise(ref)
+
+
 def hypotheses(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, line_no, ref, hyp: lines with signs beyond ASCII read as ``?``; every third line has its e misread as c."""
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    rows = gt_lines(spark, d).select("doc_id", "line_no", plain.alias("ref"))
-    return rows.withColumn("hyp", F.when((F.col("doc_id") + F.col("line_no")) % 3 == 0, F.translate("ref", "e", "c")).otherwise(F.col("ref")))
+    """doc_id, line_no, ref, hyp of every line."""
+    rows = gt_lines(spark, d).select("doc_id", "line_no", plain(F.col("text")).alias("ref"))
+    return rows.withColumn("hyp", misread(F.col("ref"), F.col("doc_id"), F.col("line_no")))
+
+
+def doc_texts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, ref, hyp of whole documents."""
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", boxed(F.col("text"), F.col("doc_id")).alias("l")).filter("size(l) > 0")
+    ref = F.transform("l", lambda x: plain(x["text"]))
+    hyp = F.transform("l", lambda x: misread(plain(x["text"]), F.col("doc_id"), x["line_no"]))
+    return rows.select("doc_id", F.array_join(ref, " ").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
 
 
 HYP = r"""hyp as (

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import schedules
 from ..functions import text as t
 from ..operators import audit, detection, filters, mixture, ordering, recognition, serialize, tasks
-from ..sources import annotations, manifest
+from ..sources import annotations, cache, manifest
 from ..streaming import early_stop, telemetry
+from ..storage import scratch
 from . import fixtures as x
 from .fixtures import GT, HYP, PRED, table
 
@@ -145,12 +142,10 @@ INTER = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))::bigint * greates
  select doc_id, line_no, pred_line, k, i as inter, i / (ga + pa - i)::double as iou from j where i > 0"""
 )
 def q_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping boxes of a page; an equi join on the page and the strip of 24 px a box begins in or before."""
-    a = x.gt_lines(spark, d).select("doc_id", "line_no", own_box().alias("a"), F.explode(F.sequence(F.floor(F.col("y1") / 24), F.floor(F.col("y2") / 24))).alias("strip"))
-    b = x.predictions(spark, d).select("doc_id", F.col("line_no").alias("pred_line"), "k", own_box().alias("b"), F.explode(F.sequence(F.floor(F.col("y1") / 24), F.floor(F.col("y2") / 24))).alias("strip"))
-    first = F.floor(F.greatest(F.col("a.y1"), F.col("b.y1")) / 24) == F.col("strip")  # a pair counts in the first strip it shares
-    rows = a.join(b, ["doc_id", "strip"]).filter(first).withColumn("inter", g.intersection(F.col("a"), F.col("b"))).filter("inter > 0")
-    return rows.select("doc_id", "line_no", "pred_line", "k", "inter", g.iou(F.col("a"), F.col("b")).alias("iou"))
+    """Overlapping boxes of a page."""
+    a = x.gt_lines(spark, d).select("doc_id", "line_no", own_box().alias("a"))
+    b = x.predictions(spark, d).select("doc_id", F.col("line_no").alias("pred_line"), "k", own_box().alias("b"))
+    return detection.overlapping(a, b, "doc_id").select("doc_id", "line_no", "pred_line", "k", "inter", g.iou(F.col("a"), F.col("b")).alias("iou"))
 
 
 def box_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -233,29 +228,23 @@ BAG = rf"""{GT}, {HYP}, r as (select doc_id, w, count(*) as n from (select doc_i
    from r full join h on r.doc_id = h.doc_id and r.w = h.w group by 1)"""
 
 
-def doc_texts(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, ref, hyp of whole documents."""
-    rows = x.hypotheses(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "ref", "hyp"))).alias("l"))
-    return rows.select("doc_id", F.array_join(F.col("l.ref"), " ").alias("ref"), F.array_join(F.col("l.hyp"), " ").alias("hyp"))
-
-
 @query(f"with {BAG} select doc_id, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn from b")
 def q_word_matches(spark: SparkSession, d: str) -> DataFrame:
     """Multiset word matches of every document."""
-    return recognition.word_matches(doc_texts(spark, d), "doc_id")
+    return recognition.word_matches(x.doc_texts(spark, d), "doc_id")
 
 
 @query(f"""with {BAG}, s as (select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from b), q as (select *, tp / (tp + fp)::double as precision, tp / (tp + fn)::double as recall from s)
  select tp, fp, fn, precision, recall, 2 * precision * recall / (precision + recall) as f1 from q""")
 def q_word_prf(spark: SparkSession, d: str) -> DataFrame:
     """A4: precision, recall and F1 over the corpus."""
-    return recognition.word_prf(doc_texts(spark, d), "doc_id")
+    return recognition.word_prf(x.doc_texts(spark, d), "doc_id")
 
 
 @query()
 def q_wer(spark: SparkSession, d: str) -> DataFrame:
     """A2: word edit distance of every document; tested against a brute-force version."""
-    return doc_texts(spark, d).select("doc_id", recognition.word_errors(F.col("ref"), F.col("hyp")).alias("errors"), F.size(t.words(F.col("ref"))).alias("n_words"))
+    return x.doc_texts(spark, d).select("doc_id", recognition.word_errors(F.col("ref"), F.col("hyp")).alias("errors"), F.size(t.words(F.col("ref"))).alias("n_words"))
 
 
 @query()
@@ -378,8 +367,8 @@ def q_teacher_forcing(spark: SparkSession, d: str) -> DataFrame:
 def q_micro_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of 32 in global order, the last one partial, with the size all their pages are filled up to."""
     rows = table(spark, d, "documents").select("doc_id", (F.coalesce("n_pages", F.lit(1)) * 100).alias("img_w"))
-    made = serialize.micro_batches(rows, 32, ["doc_id"])
-    return made.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), g.up_to_multiple(F.max("img_w"), 32).cast("long").alias("pad_w"))
+    made = serialize.padded_batch_size(serialize.micro_batches(rows.withColumn("img_h", F.lit(32)), 32, ["doc_id"]))
+    return made.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.max("pad_w").cast("long").alias("pad_w"))
 
 
 WEIGHTS = {"pdfa_letters": 7.0, "idl_memos": 2.0, "iam_forms": 1.0, "wiki_pages": 0.0}
@@ -392,10 +381,23 @@ def q_mixture_counts(spark: SparkSession, d: str) -> DataFrame:
     return mixture.sample_counts(mixed)
 
 
-@query()
+@query("""select source, count(*) as n, (count(*) - 1)::bigint as last, count(*) as n_ranks, 0::bigint as n_late from documents where source in ('pdfa_letters', 'idl_memos', 'iam_forms') group by 1""")
 def q_mixture_order(spark: SparkSession, d: str) -> DataFrame:
-    """M1, M3: drawing times of all rows; hash order has no SQL twin, its ratios are tested."""
-    return mixture.interleaved(table(spark, d, "documents").select("doc_id", "source"), WEIGHTS)
+    """M1, M3: every row of a source is drawn once, ranks without a gap, the k-th between k and k + 1 over its weight."""
+    mixed = mixture.interleaved(table(spark, d, "documents").select("doc_id", "source"), WEIGHTS)
+    at = F.col("mix_time") * F.create_map(*[F.lit(v) for kv in WEIGHTS.items() for v in kv])[F.col("source")]
+    late = (at < F.col("mix_rank") - 1e-6) | (at > F.col("mix_rank") + 1 + 1e-6)
+    return mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("mix_rank").cast("long").alias("last"), F.countDistinct("mix_rank").alias("n_ranks"), F.count_if(late).alias("n_late"))
+
+
+@query("select count(*) as n, (count(*) - 1)::bigint as last, count(*) as n_positions, true as ordered from documents where source in ('pdfa_letters', 'idl_memos', 'iam_forms')")
+def q_global_order(spark: SparkSession, d: str) -> DataFrame:
+    """M1: positions of the mixture without a gap, in the order of their times."""
+    mixed = mixture.interleaved(table(spark, d, "documents").select("doc_id", "source"), WEIGHTS)
+    placed = mixture.global_order(mixed, ["mix_time", "source", "doc_id"])
+    ends = placed.groupBy(F.floor(F.col("position") / 1000).alias("block")).agg(F.min("mix_time").alias("low"), F.max("mix_time").alias("high"), F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("k"), F.max("position").alias("last"))
+    turned = F.coalesce(F.col("low") < F.max("high").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))  # a row per thousand
+    return ends.withColumn("turned", turned).agg(F.sum("n").alias("n"), F.max("last").cast("long").alias("last"), F.sum("k").alias("n_positions"), F.coalesce(~F.max("turned"), F.lit(True)).alias("ordered"))
 
 
 SHARDS = "s as (select shard, row_number() over (order by shard) - 1 as k, count(*) over () as n from (select distinct shard from manifest where shard is not null))"
@@ -414,14 +416,14 @@ def q_shard_workers_cap(spark: SparkSession, d: str) -> DataFrame:
     return mixture.worker_slices(table(spark, d, "manifest").filter("shard is not null").select("shard"), 100_000, "cap")
 
 
-@query(r"""select case regexp_extract(shard, '(\d+)\.[^./]+$', 1) when '0118' then 'val' when '0119' then 'test' else 'train' end as locked, count(*) as n, count(distinct shard) as n_shards from manifest where shard is not null group by 1""")
+@query(r"""select case regexp_extract(shard, '[^/]*$') when 'pdfa-eng-train-0118.tar' then 'val' when 'pdfa-eng-train-0119.tar' then 'test' else 'train' end as locked, count(*) as n, count(distinct shard) as n_shards from manifest where shard is not null group by 1""")
 def q_locked_split(spark: SparkSession, d: str) -> DataFrame:
-    """Splits locked by shard number."""
+    """Splits locked by the shard's base name."""
     rows = table(spark, d, "manifest").filter("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("k"))
     return rows.groupBy(filters.shard_split(F.col("shard")).alias("locked")).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_shards"))
 
 
-@query(r"""select shard, count(*) as n from manifest where shard is not null and not regexp_matches(shard, '011[89]\.[^./]+$') group by 1""")
+@query(r"""select shard, count(*) as n from manifest where shard is not null and regexp_extract(shard, '[^/]*$') not in ('pdfa-eng-train-0118.tar', 'pdfa-eng-train-0119.tar') group by 1""")
 def q_unlocked_shards(spark: SparkSession, d: str) -> DataFrame:
     """Shards that aren't locked."""
     rows = table(spark, d, "manifest").filter("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
@@ -440,19 +442,19 @@ def q_shard_audit(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.coalesce("source", F.lit("none")).alias("shard"), F.col("mean_score").isNull().alias("failed"))
     rows = docs.join(x.pages(spark, d).drop("source"), "page_id", "left").withColumn("lines", F.coalesce("lines", F.expr("cast(array() as array<struct<text: string, x1: int, y1: int, x2: int, y2: int>>)")))
     found = audit.shard_audit(rows)
-    return found.withColumn("is_flagged", F.col("decode_ok_frac") < 0.9)
+    return found.join(audit.flagged(found).select("shard", F.lit(True).alias("is_flagged")), "shard", "left").na.fill(False, ["is_flagged"])
 
 
 @query("select d.doc_id, l.kind, l.labelled_by from documents d join page_labels l using (doc_id)")
 def q_sidecar_join(spark: SparkSession, d: str) -> DataFrame:
-    """Records with their sidecars."""
+    """Records with their sidecars, a plain join."""
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "page_labels"), "doc_id")
 
 
 @query("select doc_id, kind, labelled_by from page_labels where doc_id not in (select doc_id from documents)")
 def q_sidecar_orphans(spark: SparkSession, d: str) -> DataFrame:
     """Sidecars without a record."""
-    return table(spark, d, "page_labels").join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_anti")
+    return cache.orphans(table(spark, d, "page_labels"), table(spark, d, "documents"), "doc_id")
 
 
 @query("""select rec_id, case when coalesce(version, 1) <> 1 then 'version_not_supported' when coalesce(image, '') = '' then 'image_missing' when ref is null then 'ref_missing'
@@ -546,11 +548,20 @@ def q_ema(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "event_id", F.round(ordering.tail_ema("value", ["user_id"], ["ts", "event_id"]), 6).alias("ema"))
 
 
-@query()
+EARLY = """with recursive e as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as k from events where value is not null and user_id is not null and event_id is not null),
+ s as (select user_id, event_id, k, value, [value] as tail, value as smoothed, value as best, 0 as waited, 0 as spiked from e where k = 1
+  union all select user_id, event_id, k, value, tail, smoothed, case when better then smoothed else best end, case when better then 0 else waited + 1 end, case when (case when better then smoothed else best end) - value > 50 then spiked + 1 else 0 end
+   from (select *, smoothed - best > 0.5 as better from (select *, list_sum(list_transform(range(1, len(tail) + 1), lambda i: tail[i] * (case when i = 1 then 1.0::double else 2.0::double / (len(tail) + 1) end) * pow(1 - 2.0::double / (len(tail) + 1), len(tail) - i))) as smoothed
+    from (select e.user_id, e.event_id, e.k, e.value, list_append(s.tail, e.value)[-5:] as tail, s.best, s.waited, s.spiked from s join e on e.user_id = s.user_id and e.k = s.k + 1))))
+ select user_id::varchar as run, event_id as step, round(smoothed, 6) as smoothed, round(best, 6) as best, waited::int as waited, spiked::int as spiked, case when k <= 5 then null when waited >= 10 then 'patience_exceeded' when spiked >= 3 then 'spike_detected' end as reason from s"""
+
+
+@query(EARLY)
 def q_early_stop(spark: SparkSession, d: str) -> DataFrame:
-    """W3, W4, ST7: the early-stop fold of every user's values; tested on golden curves."""
+    """W3, W4, ST7: the early-stop fold of every user's values."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value")
-    return early_stop.decisions(rows, early_stop.Rule(spike=50.0, min_delta=0.5))
+    found = early_stop.decisions(rows, early_stop.Rule(spike=50.0, min_delta=0.5))
+    return found.select("run", "step", F.round("smoothed", 6).alias("smoothed"), F.round("best", 6).alias("best"), "waited", "spiked", "reason")
 
 
 @query("""with r as (select i, case when i < 50 then 0.001::double * (i + 1) / 50 when i >= 900 then 0.0001::double else 0.001::double * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * ((i - 50) / 850.0::double)))) end as lr from range(0, 1000) t(i))
@@ -574,15 +585,17 @@ def q_log_events(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.events(x.log_lines(spark, d))
 
 
-@query()
+@query("select 0::bigint as only_batch, 0::bigint as only_stream")
 def q_log_stream(spark: SparkSession, d: str) -> DataFrame:
-    """ST2, SK9, SC19: the same from a stream of files; must equal the batch form."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-")
-    at = os.path.join(folder, f"stream-{uuid.uuid4().hex}")
-    x.log_lines(spark, d).repartition(4, "log").sortWithinPartitions("log", "seq").write.json(f"{at}/in")
-    made = telemetry.stream_events(telemetry.stream(spark, f"{at}/in"))
-    made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(telemetry.OUTPUT).parquet(f"{at}/out")
+    """ST1 to ST6, SK9, SC19: events of a stream of files, written as JSON lines, against the batch form: rows that one of them lacks."""
+    at = scratch(spark, "stream")
+    lines = x.log_lines(spark, d)
+    lines.repartition(4, "log").sortWithinPartitions("log", "seq").write.json(f"{at}/in")
+    telemetry.write_jsonl(telemetry.stream_events(telemetry.stream(spark, f"{at}/in")), f"{at}/out", f"{at}/state").awaitTermination()
+    cols = ("log", "seq", "sub", "event", "attempt", "stage", "step", "streak", "restart_streak", "alert", "rate")
+    streamed, batch = spark.read.schema(telemetry.OUTPUT).json(f"{at}/out").select(*cols), telemetry.events(lines).select(*cols)
+    sides = batch.withColumn("b", F.lit(1)).unionByName(streamed.withColumn("b", F.lit(-1))).groupBy(*cols).agg(F.sum("b").alias("b"))
+    return sides.agg(F.coalesce(F.sum(F.greatest("b", F.lit(0))), F.lit(0)).alias("only_batch"), F.coalesce(F.sum(F.greatest(-F.col("b"), F.lit(0))), F.lit(0)).alias("only_stream"))
 
 
 @query(f"""with {GT}, b as (select doc_id, x1, x2, max(x2) over (partition by doc_id order by x1, x2 rows between unbounded preceding and 1 preceding) as m from gt)
@@ -641,12 +654,22 @@ def q_page_geometry(spark: SparkSession, d: str) -> DataFrame:
     return x.gt_lines(spark, d).select("doc_id", "line_no", e["x1"].alias("ex1"), e["y2"].alias("ey2"), g.contains(b, g.box(60, 500, 100, 30)).alias("holds"), f["scale"].alias("scale"), f["w"].alias("fit_w"), g.up_to_multiple(h, 32).alias("padded"))
 
 
-@query()
+@query(f"with {GT} select doc_id, doc_id % 5 = 0 as fixed, true as valid from gt group by 1")
 def q_relabelled(spark: SparkSession, d: str) -> DataFrame:
-    """Tasks drawn by key for whole pages; tested for shares and validity."""
+    """Tasks drawn by key for whole pages. Fixed pages stay; a region is a line's box, a query stands in a line."""
     rows = posed(spark, d).withColumn("meta", F.create_map(F.lit("source_family"), F.when(F.col("page_id") % 5 == 0, "synth_handwritten").otherwise("other")))
-    made = tasks.relabelled(rows, {k: 0.25 for k in MIX})
-    return made.select("page_id", "task", "query_text", "query_bbox.*")
+    old = F.struct("task", "query_text", "query_bbox")
+    made = tasks.relabelled(rows.withColumn("old", old), {k: 0.25 for k in MIX})
+    fixed = tasks.fixed_task(F.col("meta"))
+    boxes = F.exists("lines", lambda v: F.struct(*[v[k].alias(k) for k in g.AXES]) == F.col("query_bbox"))
+    found = F.exists("lines", lambda v: F.contains(F.array_join(t.words(v["text"]), " "), F.col("query_text")))
+    drawn = (
+        F.when(F.col("task") == "region_ocr", boxes & F.col("query_text").isNull())
+        .when(F.col("task") == "find_it", found & F.col("query_bbox").isNull() & F.size(t.words(F.col("query_text"))).between(1, 11))
+        .otherwise(F.col("query_text").isNull() & F.col("query_bbox").isNull())
+    )
+    same = F.struct("task", "query_text", "query_bbox").eqNullSafe(F.col("old"))
+    return made.select(F.col("page_id").alias("doc_id"), fixed.alias("fixed"), F.when(fixed, same).otherwise(drawn | same).alias("valid"))
 
 
 @query()
@@ -666,11 +689,6 @@ def q_validation_summary(spark: SparkSession, d: str) -> DataFrame:
     return audit.validation_summary(rows, "user_id", ["event_id"], "value").withColumn("mean_loss", F.round("mean_loss", 6))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-")
-    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
-
-
 @query("""select image, coalesce(task, 'ocr_layout') as task, ref, greatest(1, coalesce(len(bboxes), 0))::int as n_lines, coalesce(list_sum(list_transform(bboxes, lambda b: b.x1 + b.y2)), 0)::bigint as corners
  from manifest where coalesce(image, '') <> '' and ref is not null and coalesce(task, 'ocr') in ('ocr', 'ocr_layout', 'region_ocr', 'find_it')""")
 def q_manifest_files(spark: SparkSession, d: str) -> DataFrame:
@@ -694,6 +712,4 @@ def q_cache_pages(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "cache")
     verbs.cache_pages(pages.filter("page_id % 2 = 0"), at, (10, 850))
     verbs.cache_pages(pages, at, (10, 850))
-    from ..sources import cache
-
     return cache.read(spark, at).select(F.col("page_id").alias("doc_id"), "img_w", F.aggregate("lines", F.lit(0).cast("long"), lambda a, v: a + v["x2"]).alias("x2"))

@@ -65,15 +65,23 @@ def decide(p: Progress, value: float, rule: Rule) -> str | None:
 SCHEMA = "run string, step long, value double, smoothed double, best double, waited int, spiked int, reason string"
 
 
-def decisions(history: DataFrame, rule: Rule = Rule(), run: str = "run", step: str = "step", value: str = "value") -> DataFrame:
-    """One row per validation with the state after it and the reason to stop there, if any."""
-    rows = history.selectExpr(f"cast({run} as string) as run", f"cast({step} as long) as step", f"cast({value} as double) as value").dropna()
+def decisions(history: DataFrame, rule: Rule = Rule(), run: str = "run", step: str = "step", value: str = "value", saved: dict[str, dict] | None = None) -> DataFrame:
+    """One row per validation with the state after it and the reason to stop there, if any.
 
-    def one(p: Progress, row: pd.Series) -> tuple[Progress, dict]:
+    A value that isn't a number is a validation without improvement; rows where run, step or value is null are none. ``saved`` has
+    the states of runs that go on from earlier validations.
+    """
+    rows = history.selectExpr(f"cast({run} as string) as run", f"cast({step} as long) as step", f"cast({value} as double) as value")
+    rows = rows.filter("run is not null and step is not null and value is not null")
+
+    def begin(run: str) -> Progress:
+        return Progress.restored((saved or {}).get(run, {}))
+
+    def one(p: Progress, row: dict) -> tuple[Progress, dict]:
         reason = decide(p, float(row["value"]), rule)
         return p, {"run": row["run"], "step": row["step"], "value": row["value"], "smoothed": smoothed(p.tail), "best": p.best, "waited": p.waited, "spiked": p.spiked, "reason": reason}
 
-    return fold(rows, "run", ["step"], SCHEMA, one, Progress)
+    return fold(rows, "run", ["step"], SCHEMA, one, begin)
 
 
 SELECTED = "run string, step long, gate double, truth double, passed boolean, accepted boolean, best double"
@@ -83,11 +91,11 @@ def selections(history: DataFrame, higher_is_better: bool = True) -> DataFrame:
     """history(run, step, gate, truth): a cheap gate that beats the best asks for the truth; only a better truth becomes the best."""
     sign = 1.0 if higher_is_better else -1.0
 
-    def one(state: dict, row: pd.Series) -> tuple[dict, dict]:
+    def one(state: dict, row: dict) -> tuple[dict, dict]:
         best = state.get("best")
         passed = best is None or sign * (row["gate"] - best) > 0
         accepted = bool(passed and not pd.isna(row["truth"]) and (best is None or sign * (row["truth"] - best) > 0))
         best = float(row["truth"]) if accepted else best
         return {"best": best}, {"run": row["run"], "step": row["step"], "gate": row["gate"], "truth": row["truth"], "passed": bool(passed), "accepted": accepted, "best": best}
 
-    return fold(history.selectExpr("cast(run as string) as run", "cast(step as long) as step", "cast(gate as double) as gate", "cast(truth as double) as truth"), "run", ["step"], SELECTED, one, dict)
+    return fold(history.selectExpr("cast(run as string) as run", "cast(step as long) as step", "cast(gate as double) as gate", "cast(truth as double) as truth"), "run", ["step"], SELECTED, one, lambda _: {})

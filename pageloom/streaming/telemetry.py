@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EVENT
@@ -76,6 +76,24 @@ def kind(line: Column) -> Column:
     return out
 
 
+#: A date and a time of day at any place of a line.
+TIME = r"(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2}(?:[.,]\d{1,6})?)"
+
+
+def timed(lines: DataFrame, seconds_per_line: float = 0.0) -> DataFrame:
+    """Adds ts to lines (log, seq, line): seconds of the time written in the line, else of the last line before that has one.
+
+    Lines before any time have their number times ``seconds_per_line``, which also counts from the last time on.
+    """
+    text = F.concat(F.regexp_extract("line", TIME, 1), F.lit(" "), F.translate(F.regexp_extract("line", TIME, 2), ",", "."))
+    own = F.unix_micros(F.try_to_timestamp(text)) / 1e6
+    before = Window.partitionBy("log").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(own.isNotNull(), F.struct(own.alias("ts"), F.col("seq").alias("seq"))), ignorenulls=True).over(before)
+    rows = lines.withColumn("_t", last)
+    since = (F.col("seq") - F.coalesce("_t.seq", F.lit(0))) * F.lit(float(seconds_per_line))
+    return rows.withColumn("ts", F.coalesce("_t.ts", F.lit(0.0)) + since).select("log", "seq", "ts", "line")
+
+
 def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
     """Rows that are events, with ``kind`` and the fields of their pattern; other lines are left out."""
     rows = lines.withColumn("kind", kind(F.col(line))).filter("kind is not null")

@@ -212,8 +212,14 @@ def test_filters(spark):
     with pytest.raises(ValueError):
         filters.main_share(0.7, 0.3)
     filters.guard_training(["a-0117.tar"])
+    filters.guard_training(["x/a-0119.tar", "x-90118.tar"])  # other families aren't locked
     with pytest.raises(SystemExit):
-        filters.guard_training(["x/a-0119.tar"])
+        filters.guard_training(["x/pdfa-eng-train-0119.tar"])
+    with pytest.raises(SystemExit):
+        filters.guard_training(["pdfa-eng-train-0118.tar"])
+    filters.guard_training(["pdfa-eng-train-0118.tar"], ("train", "val"))
+    named = spark.createDataFrame([("a/pdfa-eng-train-0118.tar",), ("pdfa-eng-train-0119.tar",), ("x-90118.tar",), ("idl-train-0119.tar",)], "s string")
+    assert [r[0] for r in named.select(filters.shard_split(F.col("s"))).collect()] == ["val", "test", "train", "train"]
 
 
 def test_mixture(spark):
@@ -269,3 +275,27 @@ def test_shard_audit_and_report(spark):
     got = {r["shard"]: r for r in found.collect()}
     assert (got["s1"]["decode_ok"], got["s1"]["render_fail"], got["s2"]["zero_line"], got["s1"]["bbox_inside"], got["s1"]["non_latin_lines"]) == (1, 1, 1, 1, 1)
     assert audit.gate(found) == 1 and "| s1 |" in audit.markdown(found.orderBy("shard"), "Audit")
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_global_numbers_of_millions_of_rows(spark, wide):
+    n = 3_000_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("key"), "id")
+    if wide:
+        rows = rows.withColumn("text", F.repeat(F.lit("x"), 20))
+    placed = serialize.numbered_globally(rows, ["key"], "position")
+    blocks = placed.groupBy(F.floor(F.col("position") / 10_000).alias("b")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).orderBy("b").collect()
+    assert [(r["b"], r["n"]) for r in blocks] == [(k, 10_000) for k in range(n // 10_000)]
+    assert all(a["high"] < b["low"] for a, b in zip(blocks, blocks[1:], strict=False))
+    assert placed.select("position").distinct().count() == n
+    assert serialize.numbered_globally(rows.limit(0), ["key"], "position").count() == 0
+
+
+def test_overlapping_boxes_equal_brute_force(spark):
+    r = random.Random(5)
+    make = lambda n: [(k % 4, k, (x := r.randint(0, 80)), (y := r.randint(0, 200)), x + r.randint(0, 40), y + r.randint(0, 90)) for k in range(n)]
+    left, right = make(60), make(50)
+    frame = lambda rows, c: spark.createDataFrame(rows, f"page long, {c}k long, x1 int, y1 int, x2 int, y2 int").select("page", f"{c}k", F.struct("x1", "y1", "x2", "y2").alias(c))
+    got = {(x["ak"], x["bk"]): x["inter"] for x in detection.overlapping(frame(left, "a"), frame(right, "b"), "page").collect()}
+    inter = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+    assert got == {(a[1], b[1]): inter(a, b) for a in left for b in right if a[0] == b[0] and inter(a, b) > 0}

@@ -35,6 +35,15 @@ def test_tar_shards(spark, tmp_path):
     assert [(p["source"], p["lines"][0]["text"], p["lines"][0]["x2"]) for p in pages] == [("pdfa:k1", "one", 60), ("pdfa:k2", "four", 60)]
     both = tar.records(spark, [str(a)], ["json", "pdf"]).filter("pdf is not null").first()
     assert both["key"] == "k1" and bytes(both["pdf"]) == b"%PDF"
+    faults = {r["key"]: r["reason"] for r in tar.quarantine(spark, [str(a), str(b)], NESTED_PAGES).collect()}
+    assert faults == {"bad": "no JSON of pages", "raw": "not UTF-8"}
+    assert tar.complete(tar.records(spark, [str(a)], ["json", "pdf"]), ["json", "pdf"]).count() == 1
+    (tmp_path / "x-0002.tar").write_bytes(b.read_bytes()[:560])
+    (tmp_path / "x-0003.tar").write_bytes(b"no tar at all" * 100)
+    broken = [str(a), str(tmp_path / "x-0002.tar"), str(tmp_path / "x-0003.tar")]
+    assert tar.payloads(spark, broken, NESTED_PAGES).count() == 1  # whole shards are read on
+    ends = {r["shard"][-8:]: r["reason"] for r in tar.quarantine(spark, broken, NESTED_PAGES).filter("key is null").collect()}
+    assert sorted(ends) == ["0002.tar", "0003.tar"] and all("Error" in v for v in ends.values())
     with pytest.raises(Exception, match="missing shards"):
         tar.members(spark, [str(tmp_path / "none.tar")]).count()
 
@@ -194,3 +203,12 @@ def test_evaluate(spark):
     assert {r["image"]: r["cer"] for r in docs.collect()} == {"i1": 0.0, "i2": 1.0}
     targets = verbs.training_targets({"a": (1.0, m.select(F.col("image").alias("page_id"), "lines", "img_w", "img_h", F.lit("ocr").alias("task"), F.lit(None).cast("string").alias("query_text"), F.expr("cast(null as struct<x1: int, y1: int, x2: int, y2: int>)").alias("query_bbox"), F.expr("cast(map() as map<string, string>)").alias("meta"))), "b": (0.0, None)}, {"ocr": 1.0})
     assert {r["page_id"]: r["tokens"][1] for r in targets.collect()} == {"i1": "<task=ocr>", "i2": "<task=ocr>"}
+
+
+def test_tar_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{k % 3}.tar", f"k{k:02d}", e, f"{k}{e}".encode()) for k in range(10) for e in ("json", "bin")], "shard string, key string, ext string, content binary")
+    made = tar.write(rows, str(tmp_path / "out"))
+    assert sorted(r["n_members"] for r in made.collect()) == [6, 6, 8]
+    back = tar.members(spark, [r["shard"] for r in made.collect()]).select("key", "ext", "content").collect()
+    assert sorted((r["key"], r["ext"], bytes(r["content"])) for r in back) == sorted((r["key"], r["ext"], bytes(r["content"])) for r in rows.collect())
+    assert tar.write(rows.limit(0), str(tmp_path / "none")).count() == 0

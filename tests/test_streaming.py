@@ -89,3 +89,30 @@ def test_folds(spark):
     picks = spark.createDataFrame([("r", 1, 0.5, 0.4), ("r", 2, 0.3, None), ("r", 3, 0.6, 0.35), ("r", 4, 0.7, 0.6)], "run string, step long, gate double, truth double")
     got = early_stop.selections(picks).orderBy("step").collect()
     assert [(r["passed"], r["accepted"], r["best"]) for r in got] == [(True, True, 0.4), (False, False, 0.4), (True, False, 0.4), (True, True, 0.6)]
+
+
+def test_values_that_are_no_numbers_dont_improve(spark):
+    nan = float("nan")
+    values = [0.1, 0.2, 0.3] + [nan] * 17
+    rows = spark.createDataFrame([("r", k, v) for k, v in enumerate(values)] + [("r", 99, None)], "run string, step long, value double")
+    got = early_stop.decisions(rows).orderBy("step").collect()
+    assert len(got) == 20 and got[-1]["waited"] == 17 and got[-1]["spiked"] == 0
+    assert [r["reason"] for r in got].index("patience_exceeded") == 12
+
+
+def test_runs_go_on_from_a_saved_state(spark):
+    values = [0.1, 0.5, 0.4, 0.4, 0.4, 0.4, 0.4]
+    rows = spark.createDataFrame([("r", k, v) for k, v in enumerate(values)], "run string, step long, value double")
+    rule, p = early_stop.Rule(patience=3, warmup=2), early_stop.Progress()
+    whole = [tuple(r) for r in early_stop.decisions(rows, rule).orderBy("step").collect()]
+    for v in values[:3]:
+        early_stop.decide(p, v, rule)
+    assert [tuple(r) for r in early_stop.decisions(rows.filter("step >= 3"), rule, saved={"r": p.saved()}).orderBy("step").collect()] == whole[3:]
+
+
+def test_times_of_lines(spark):
+    lines = ["begin", "[2024-05-01 10:00:00,500] step=1 loss=1.0 text=1.0 loc=2.0 lr=1e-4", "step=2 loss=1.0 text=1.0 loc=2.0 lr=1e-4", "2024-05-01T11:00:00 step=3 loss=1.0 text=1.0 loc=2.0 lr=1e-4"]
+    df = spark.createDataFrame([("a", k, x) for k, x in enumerate(lines)], "log string, seq long, line string")
+    ts = [r["ts"] for r in telemetry.timed(df, 2.0).orderBy("seq").collect()]
+    assert ts[0] == 0.0 and ts[2] - ts[1] == 2.0 and ts[3] - ts[1] == 3599.5
+    assert "step_rate_low" in [r["event"] for r in telemetry.events(telemetry.timed(df)).collect()]
