@@ -2,12 +2,12 @@
 
 A record is a sparse bit vector, one bit per shingle. Of two records of likeness 0.5 each lacks at most half of its own bits. Cut a
 record's bits into partitions with thresholds whose sum of (threshold + 1) is one more than it may lack, and some partition has no
-more lacking bits than its threshold. The partitions here are single bits. Their thresholds are unequal: 0 for the bits with the
-fewest estimated candidates, just as many as needed, and -1 (not probed) for all others. Estimates are document frequencies over
-all records from a sketch of fixed size; as one bit costs its frequency whatever the others do, taking them in ascending order is
-the optimum of the allocation program. Probes pass bounds on size and on bitmaps and are verified on the texts, so no pair is lost.
+more lacking bits than its threshold. The partitions here are single bits, the smallest there are, with unequal thresholds: 0 for
+the bits with the fewest estimated candidates, just as many as needed, and -1 (not probed) for all others. As one bit costs its
+document frequency whatever the others do, taking them in ascending order is the best allocation, and no program is run. The search
+is then that of a prefix filter. Probes pass bounds on size and on bitmaps and are verified on the texts, so no pair is lost.
 
-Larger groups of correlated bits were tried and given up; the README has the figures.
+Larger partitions of correlated bits, allocated by a dynamic program, gave more candidates; the README has the figures.
 """
 
 from __future__ import annotations
