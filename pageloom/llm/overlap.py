@@ -79,7 +79,7 @@ def cross_split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     records = records.select(F.col("id").cast("long").alias("id"), "text", side(F.col("split")).alias("side")).filter("id is not null and side is not null")
     keyed = records.select("id", "side", *content_key())
     least = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max(F.col("side") == "eval").alias("in_eval"), F.max(F.col("side") == "train").alias("in_train"))
-    members = keyed.join(least, ["h1", "h2"]).select("id", "rep", "side")
+    members = written(keyed.join(least, ["h1", "h2"]).select("id", "rep", "side"))  # read several times
     reps = written(records.select("id", "text").join(least.select(F.col("rep").alias("id"), "in_eval", "in_train"), "id"))
     context = records.sparkSession.sparkContext
     sk = context.broadcast(sketch(reps))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_CHARS, bounded
+from .common import BATCH_CHARS, bounded, written
 
 WIDTH = 3
 MIN_WORDS, MIN_DISTINCT = 15, 10
@@ -250,6 +250,6 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keyed = records.select("id", *content_key())
     least = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = keyed.join(least, ["h1", "h2"]).select("id", "rep")
+    members = written(keyed.join(least, ["h1", "h2"]).select("id", "rep"))  # two numbers a record, read several times
     reps = records.select("id", "text").join(least.select(F.col("rep").alias("id")), "id", "left_semi")
     return members, reps
