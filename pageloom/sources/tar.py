@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import tarfile
 import uuid
 import zlib
@@ -115,8 +116,11 @@ def quarantine(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 def write(rows: DataFrame, folder: str) -> DataFrame:
     """rows(shard, key, ext, content) -> shard, n_members of the tar files written to a shared folder.
 
-    A shard is one task's work; it gets its name when it is whole, so that a lost task's half file is never read.
+    The folder is on a file system that all executors mount. A shard is one task's work; it gets its name when it is whole, so that a lost task's half file is never read.
     """
+    folder = re.sub("^file:(//)?", "", folder)
+    if "://" in folder:
+        raise ValueError(f"{folder} isn't a mounted folder")
     os.makedirs(folder, exist_ok=True)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
