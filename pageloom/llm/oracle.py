@@ -16,16 +16,21 @@ DOC_SIZES = rf"""with recursive words as (select doc_id as id, unnest(string_spl
 
 CODES = "case regexp_extract(lower(x), '^\\s*([a-z]+)', 1) when 'ara' then 'ar' when 'arabic' then 'ar' when 'deu' then 'de' when 'ger' then 'de' when 'german' then 'de' when 'eng' then 'en' when 'english' then 'en' when 'spa' then 'es' when 'spanish' then 'es' when 'fra' then 'fr' when 'fre' then 'fr' when 'french' then 'fr' when 'ita' then 'it' when 'italian' then 'it' when 'nld' then 'nl' when 'dut' then 'nl' when 'dutch' then 'nl' when 'por' then 'pt' when 'portuguese' then 'pt' when 'und' then null when 'unknown' then null when '' then null else regexp_extract(lower(x), '^\\s*([a-z]+)', 1) end"
 
-P2 = rf"""with recursive words as (select rec_id as id, unnest(string_split_regex(ref, '[ \t\n]+')) as word from manifest where ref is not null), {SIZES},
+SLICES = rf"""with recursive words as (select rec_id as id, unnest(string_split_regex(ref, '[ \t\n]+')) as word from manifest where ref is not null), {SIZES},
  t as (select id, sum(z.n) as n from words join size_of z on z.s = '▁' || word where word <> '' group by 1),
  fam as (select rec_id, min(regexp_extract(lower(trim(source)), '^[a-z_]+', 0)) as source from samples where trim(source) <> '' group by 1),
  r as (select f.source, list_sort(list_distinct(list_filter(list_transform(string_split_regex(coalesce(m.lang, ''), '[+/]'), lambda x: {CODES}), lambda c: c is not null))) as ls, coalesce(lower(trim(m.domain)), 'unknown') as domain, coalesce(t.n, 0) as n
    from manifest m join fam f using (rec_id) left join t on t.id = m.rec_id),
- c as (select source, case when len(ls) = 0 then 'und' else array_to_string(ls, '+') end as lang, domain, sum(n) as n from r group by 1, 2, 3)
- select k.source, k.lang, k.domain from token_needs k left join c using (source, lang, domain) where coalesce(c.n, 0) * 1000.0::double < k.need_per_mille * (select sum(n) from c)"""
+ c as (select source, case when len(ls) = 0 then 'und' else array_to_string(ls, '+') end as lang, domain, sum(n) as n, count(*) as k from r group by 1, 2, 3)"""
+
+P2 = f"{SLICES} select k.source, k.lang, k.domain from token_needs k left join c using (source, lang, domain) where coalesce(c.n, 0) * 1000.0::double < k.need_per_mille * (select sum(n) from c)"
+
+P2_CUBE = f"{SLICES} select source, lang, domain, sum(k)::bigint as n_records, sum(n)::bigint as n_tokens from c group by cube (source, lang, domain)"
 
 P6 = f"{DOC_SIZES} select container, doc_id from d join containers on n > capacity_tokens"
 
+P6_HELD = f"""{DOC_SIZES} select container, sum(ceil(n / capacity_tokens::double))::bigint as n_pieces, sum(n)::bigint as n_tokens, 0::bigint as n_overfull, 0::bigint as n_twice from d, containers where n > 0 group by 1"""
+
 P7 = f"""{DOC_SIZES}, s as (select source, sum(n) as n from d group by 1), m as (select x.mix_name, x.source, x.weight, x.max_repeats, coalesce(s.n, 0) as n, sum(x.weight) over (partition by mix_name) as w, sum(coalesce(s.n, 0)) over (partition by mix_name) as t
    from mixture_sources x left join s on s.source = lower(trim(x.source)))
  select mix_name, source from m where n * max_repeats < weight / w * t"""
@@ -44,4 +49,4 @@ P5 = rf"""with {SHINGLES}, side as (select rec_id, case when lower(trim(split))
  p as (select rec_id_a, rec_id_b from likely union select least(a.rec_id, b.rec_id), greatest(a.rec_id, b.rec_id) from side a join side b on a.name = b.name and a.side = 'e' and b.side = 't')
  select p.rec_id_a, p.rec_id_b from p join side a on a.rec_id = rec_id_a join side b on b.rec_id = rec_id_b where a.side <> b.side"""
 
-ORACLE = {"p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+ORACLE = {"p2_found": P2, "p2_budget_cube": P2_CUBE, "p6_invariants": P6_HELD, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}

@@ -61,6 +61,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of each container size: pieces and tokens placed, pieces that occur twice, and containers that hold too much."""
+    packed = packed_documents(spark, d).join(table(spark, d, "containers").select("container", "capacity_tokens"), "container").filter("container_no is not null")
+    used = packed.groupBy("container", "container_no", "capacity_tokens").agg(F.sum("piece_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
+    full = used.groupBy("container").agg(F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.count_if(F.col("used") > F.col("capacity_tokens")).alias("n_overfull"))
+    twice = packed.groupBy("container", "item_id", "piece_no").count().groupBy("container").agg(F.count_if(F.col("count") > 1).alias("n_twice"))
+    return full.join(twice, "container")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(sized_documents(spark, d), table(spark, d, "mixture_sources"))
     return report.filter("short").select("mix_name", "source")
@@ -178,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_fill": p6_fill,
+    "p6_invariants": p6_invariants,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
