@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import checkpoint
+from ..storage import checkpoint, scratch  # noqa: F401 - checkpoint is used by the operators
 
 # The languages of the project and the ways a label may name them.
 LANGUAGES = ("ar", "de", "en", "es", "fr", "it", "nl", "pt")
@@ -38,14 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows from a compressed table in the shared checkpoint folder; a plain checkpoint where that isn't set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return checkpoint(df)
-    path = os.path.join(folder, f"table-{uuid.uuid4().hex}")
+    """The same rows from a compressed table in the shared folder; computed once, where a checkpoint would compute them twice."""
+    path = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows of one key that one task joins; a key with more on the right is split there, and its left rows meet every part.
